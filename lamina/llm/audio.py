@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lamina.llm.common import crc, encode
+from lamina.llm.common import crc, encode, ship
 
 PAD, UNIT = b"\xff", 576
 RATE, UP, DOWN, TAPS = 12_000, 2, 3, 24
@@ -158,6 +158,7 @@ def audio_features(docs: DataFrame) -> DataFrame:
     are processed whole, CHUNK samples at a time. An empty table gives an empty table.
     """
 
+    ship(docs.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments", "segments", "logmel", "span_s"]
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
     kinds = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), span, pa.list_(pa.float32()), span], strict=True)))

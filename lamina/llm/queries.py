@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import audio, raking, reshard, zstd_classifiers
+from lamina.llm import audio, decontaminate, raking, recompress_dedup, reshard, suffix_dedup, zstd_classifiers
 from lamina.llm.common import documents, held_out
 
 
@@ -18,11 +18,19 @@ def op1_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = audio.audio_features(documents(spark, sf_dir))
     return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     got = zstd_classifiers.identify(docs.select("doc_id", "text"), zstd_classifiers.fit_language(docs))
@@ -35,6 +43,10 @@ def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", named("source"), named("lang"), "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress_dedup.dedup_words(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return reshard.assign(docs, reshard.plan(docs))
@@ -42,10 +54,13 @@ def op9_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_zstd": op1_quality_zstd,
+    "op2_spaced_seeds": op2_spaced_seeds,
     "op3_audio_features": op3_audio_features,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_zstd": op5_language_zstd,
     "op6_raking": op6_raking,
+    "op8_recompression": op8_recompression,
     "op9_min_cost_resharding": op9_min_cost_resharding,
 }
 
-ORACLES: dict[str, str] = {"op6_raking": raking.oracle()}
+ORACLES: dict[str, str] = {"op2_spaced_seeds": decontaminate.oracle(), "op6_raking": raking.oracle()}

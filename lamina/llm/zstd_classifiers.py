@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import encode, held_out, prefix_hashes, span_hashes
+from lamina.llm.common import encode, held_out, prefix_hashes, ship, span_hashes
 
 #: Bytes of text in a dictionary, and at most from one document.
 DICTIONARY_BYTES, PIECE_BYTES = 110_000, 4_000
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel, min_margin: float = 0.004) -
     less than ``min_margin``. On a tie the language with most training documents wins. Without training rows all is ``und``.
     Repeated rows get equal values; columns of these names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries: DICTIONARY_BYTES for each of MAX_CLASSES at most
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)  # dictionaries: DICTIONARY_BYTES for each of MAX_CLASSES at most
 
     @F.pandas_udf("lang_pred string, lang_score double, lang_margin double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -264,7 +264,7 @@ def rate(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFr
     Null and empty texts are scored as the empty text; very long texts block by block; repeated rows alike. With training rows
     of one class only, or none, every score is that class, or 0.5.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # four dictionaries of DICTIONARY_BYTES
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)  # four dictionaries of DICTIONARY_BYTES
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
