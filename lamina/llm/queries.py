@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import audio, decontaminate, raking, recompress_dedup, reshard, suffix_dedup, zstd_classifiers
+from lamina.llm import audio, decontaminate, order_minhash, raking, recompress_dedup, reshard, suffix_dedup, zstd_classifiers
 from lamina.llm.common import documents, held_out
 
 
@@ -52,6 +52,10 @@ def op9_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.assign(docs, reshard.plan(docs))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_zstd": op1_quality_zstd,
     "op2_spaced_seeds": op2_spaced_seeds,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_raking": op6_raking,
     "op8_recompression": op8_recompression,
     "op9_min_cost_resharding": op9_min_cost_resharding,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLES: dict[str, str] = {"op2_spaced_seeds": decontaminate.oracle(), "op6_raking": raking.oracle()}
