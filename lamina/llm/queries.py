@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import audio, decontaminate, order_minhash, raking, recompress_dedup, reshard, suffix_dedup, zstd_classifiers
+from lamina.llm import audio, decontaminate, order_minhash, pii, raking, recompress_dedup, reshard, suffix_dedup, zstd_classifiers
 from lamina.llm.common import documents, held_out
 
 
@@ -43,6 +43,11 @@ def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", named("source"), named("lang"), "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op7_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find_personal_data(docs, pii.fit(docs))
+
+
 def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress_dedup.dedup_words(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_zstd": op5_language_zstd,
     "op6_raking": op6_raking,
+    "op7_pii_skip_chain": op7_pii_skip_chain,
     "op8_recompression": op8_recompression,
     "op9_min_cost_resharding": op9_min_cost_resharding,
     "op10_order_minhash": op10_order_minhash,
