@@ -24,7 +24,10 @@ DICTIONARY_BYTES, PIECE_BYTES = 110_000, 4_000
 SAMPLE_DOCS = 1_200
 #: Bytes that are encoded at once: long texts would otherwise be their own dictionary.
 BLOCK = 4_096
-LEVEL, SHORT, SHORT_LEVEL = 5, 256, 19
+LEVEL = 5
+#: Texts below SHORT bytes are encoded with each byte STRETCH times, as is their dictionary: a match costs some four bytes, so
+#: short matches would not pay otherwise and all sizes be equal.
+SHORT, SHORT_LEVEL, STRETCH = 256, 19, 4
 MAX_CLASSES = 1_000
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -107,8 +110,9 @@ class Sizes:
 
     def __call__(self, data: bytes) -> np.ndarray:
         if self._coders is None:
-            self._coders = [(self._coder(d, LEVEL), self._coder(d, SHORT_LEVEL)) for d in self.dictionaries.values()]
+            self._coders = [(self._coder(d, LEVEL), self._coder(stretch(d[: DICTIONARY_BYTES // STRETCH]), SHORT_LEVEL)) for d in self.dictionaries.values()]
         if len(data) < SHORT:
+            data = stretch(data)
             return np.array([len(short.compress(data)) for _, short in self._coders], float)
         view, n = memoryview(data), -(-len(data) // BLOCK)
         step = -(-len(data) // n)  # blocks of equal size
@@ -116,6 +120,10 @@ class Sizes:
         return np.array([sum(len(usual.compress(b)) for b in blocks) for usual, _ in self._coders], float)
 
 
+def stretch(data: bytes) -> bytes:
+    return np.repeat(np.frombuffer(data, np.uint8), STRETCH).tobytes()
+
+
 def dictionary(texts: list[bytes], limit: int = DICTIONARY_BYTES) -> bytes:
     out, n = [], 0
     for t in texts:
