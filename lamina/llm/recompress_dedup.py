@@ -137,10 +137,12 @@ def dedup_words(docs: DataFrame, window: int = 13, parts: int | None = None) ->
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")}
-            for d, t, f in zip(b.column("doc_id"), b.column("text"), b.column("found"), strict=True):
+            for d, t, f, c in zip(*(b.column(x) for x in ("doc_id", "text", "found", "copied")), strict=True):
                 words, got = _WORD.findall(encode(t.as_py())), found_arrays(f)
                 kept = words
-                if got:
+                if c.is_valid and len(words) >= window:
+                    kept = []
+                elif got:
                     gone = covered(scheme, len(words), *got)
                     kept = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 text = b" ".join(kept)
@@ -148,4 +150,4 @@ def dedup_words(docs: DataFrame, window: int = 13, parts: int | None = None) ->
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k.startswith("kept") else pa.int64()) for k, v in out.items()})
 
-    return with_found(rows_of(docs), scheme, parts).select("doc_id", "text", "found").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return with_found(rows_of(docs), scheme, parts).select("doc_id", "text", "found", "copied").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -1,6 +1,6 @@
 """Finding every window that also occurs in a document with a smaller id, for substring deduplication (operators 4 and 8).
 
-A scheme picks anchors: positions that any window contains at least one of, at the same place in each of its occurrences.
+Documents that copy one with a smaller id repeat all they have and take no further part. A scheme picks anchors: positions that any window contains at least one of, at the same place in each of its occurrences.
 1. Anchors go by key to parts; those of one document only are dropped. They cost some seven bytes each.
 2. The remaining anchors fetch their context, the units that windows around them can cover, and meet again by key.
 3. Contexts are sorted as suffixes, compared by prefix hashes and binary search and checked unit by unit: equal contexts are
@@ -23,6 +23,8 @@ from lamina.llm.common import BASES, mix, pack, partitions, ship, unpack
 
 #: Anchors that a map task holds before it sends them on.
 FLUSH = 2_000_000
+#: Contexts that are compared at once; keys are not split.
+CHUNK = 40_000
 KEY_BITS = np.uint64(40)
 
 
@@ -202,6 +204,7 @@ KEYS = ["doc_id", "n", "crc"]
 def find(rows: DataFrame, scheme: Scheme, parts: int | None = None) -> DataFrame:
     """(doc_id, n, crc, found): for each row of ``rows_of`` that repeats something, its anchors' (pos, bits)."""
     count = parts or partitions(rows.sparkSession)
+    known = copies(rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -225,7 +228,7 @@ def find(rows: DataFrame, scheme: Scheme, parts: int | None = None) -> DataFrame
 
         for b in batches:
             for d, t, n, c in zip(*(b.column(x) for x in ("doc_id", "text", "n", "crc")), strict=True):
-                if n.as_py() and d.is_valid:
+                if t.is_valid and n.as_py() and d.is_valid:
                     with np.errstate(over="ignore"):
                         pos, key = scheme.anchors(scheme.units(t.as_py()))
                     if len(pos):
@@ -287,28 +290,46 @@ def find(rows: DataFrame, scheme: Scheme, parts: int | None = None) -> DataFrame
     def decide(table: pa.Table) -> pa.Table:
         got = [unpack(b) for b in table["block"].to_pylist()]
         a = {k: np.concatenate([x[k] for x in got]) for k in got[0]}
+        order = np.argsort(a["key"], kind="stable")
+        key = a["key"][order]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.cumsum(a["size"].astype(np.int64))
-        data = a["text"].tobytes()
-        contexts = [data[e - s : e] for e, s in zip(ends.tolist(), a["size"].tolist(), strict=True)]
-        before, after = a["before"].astype(np.int64), a["after"].astype(np.int64)
-        bits = repeated_offsets(scheme, a["key"], a["doc"], before, after, scheme.codes(contexts, before, after))
+        starts, data = ends - a["size"], a["text"].tobytes()
+        bits, at = np.zeros(len(key), np.uint64), 0
+        while at < len(key):
+            k = np.searchsorted(begins, at + CHUNK, "right") - 1
+            to = len(key) if at + CHUNK >= len(key) else int(begins[k]) if begins[k] > at else int(begins[k + 1]) if k + 1 < len(begins) else len(key)
+            mine = order[at:to]
+            contexts = [data[x:y] for x, y in zip(starts[mine].tolist(), ends[mine].tolist(), strict=True)]
+            before, after = a["before"][mine].astype(np.int64), a["after"][mine].astype(np.int64)
+            bits[mine] = repeated_offsets(scheme, a["key"][mine], a["doc"][mine], before, after, scheme.codes(contexts, before, after))
+            at = to
         hit = np.flatnonzero(bits)
         return pa.table({"doc_id": a["doc"][hit], "n": a["n"][hit].astype(np.int64), "crc": a["crc"][hit].astype(np.int64), "pos": a["pos"][hit].astype(np.int32), "bits": bits[hit].astype(np.int64)})
 
-    sent = rows.mapInArrow(send, "part int, block binary")
+    # Rows are joined by KEYS three times over: each reads the same exchange of the texts.
+    originals = rows.join(known, KEYS, "left").select("doc_id", F.when(F.col("copied").isNull(), F.col("text")).alias("text"), "n", "crc")
+    sent = originals.mapInArrow(send, "part int, block binary")
     candidates = sent.groupBy("part").applyInArrow(shared, "doc_id long, n long, crc long, pos int, key long")
-    hits = candidates.groupBy(*KEYS).agg(F.collect_list(F.struct("pos", "key")).alias("hits"))
-    # A left join, as in with_found: both then read the same exchange of the texts. Rows without hits pass on no text.
+    hits = candidates.groupBy(*KEYS).agg(F.collect_list(F.struct("pos", "key")).alias("hits")).hint("shuffle_hash")
+    # A left join, as elsewhere, so that the exchange stays the same; rows without hits pass on no text.
     at_texts = rows.join(hits, KEYS, "left").select(*KEYS, F.when(F.col("hits").isNotNull(), F.col("text")).alias("text"), "hits")
     contexts = at_texts.mapInArrow(fetch, "part int, block binary")
     found = contexts.groupBy("part").applyInArrow(decide, "doc_id long, n long, crc long, pos int, bits long")
     return found.groupBy(*KEYS).agg(F.collect_list(F.struct("pos", "bits")).alias("found"))
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, n, crc, copied): the rows whose whole text is that of a smaller doc_id, by its length and MD5."""
+    slim = rows.filter("doc_id is not null").select(*KEYS, F.md5(F.col("text").cast("binary")).alias("digest"))
+    least = slim.groupBy("n", "digest").agg(F.min("doc_id").alias("least"))
+    return slim.join(least, ["n", "digest"]).filter("doc_id > least").select(*KEYS).distinct().withColumn("copied", F.lit(True)).hint("shuffle_hash")
+
+
 def with_found(rows: DataFrame, scheme: Scheme, parts: int | None = None) -> DataFrame:
-    """Each row of ``rows_of`` with ``found``, null where nothing repeats."""
-    found = find(rows, scheme, parts)
-    return rows.join(found, KEYS, "left")
+    """Each row of ``rows_of`` with ``found``, null where nothing repeats, and ``copied``, true where all does."""
+    found = find(rows, scheme, parts).hint("shuffle_hash")
+    return rows.join(copies(rows), KEYS, "left").join(found, KEYS, "left")
 
 
 def covered(scheme: Scheme, n_units: int, pos: np.ndarray, bits: np.ndarray) -> np.ndarray:
