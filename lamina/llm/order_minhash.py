@@ -160,16 +160,22 @@ def _sketched(texts: DataFrame) -> DataFrame:
     return texts.select(*TEXT_KEY, "doc_id", "text").mapInArrow(run, "k1 long, k2 long, k3 int, doc_id long, sketches array<long>")
 
 
-def _pairs(nodes: DataFrame, labels: DataFrame | None, round_: int) -> DataFrame:
+def _members(nodes: DataFrame) -> DataFrame:
+    """(node, j, bucket, beside): the buckets that several texts share, with three other sketches to order them by."""
+    all_ = nodes.select("node", "sketches", F.posexplode("sketches").alias("j", "bucket"))
+    beside = F.array(*[F.get(F.col("sketches"), F.pmod(F.col("j") + k, F.lit(SKETCHES))) for k in (1, 6, 17)])
+    shared = all_.groupBy("j", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("j", "bucket")
+    return all_.join(shared, ["j", "bucket"]).select("node", "j", "bucket", beside.alias("beside"))
+
+
+def _pairs(members: DataFrame, labels: DataFrame | None, round_: int) -> DataFrame:
     """Candidate pairs a < b: in each bucket with several classes, each text with the first and with its neighbour of another class."""
-    members = nodes.select("node", "sketches", F.posexplode("sketches").alias("j", "bucket"))
     if round_ == 0:
         members = members.filter(F.col("j") < FIRST)
-    beside = F.get(F.col("sketches"), F.pmod(F.col("j") + 1 + round_ * 5, F.lit(SKETCHES)))
-    members = members.select("node", "j", "bucket", F.xxhash64(beside, F.lit(round_)).alias("beside"), F.xxhash64("node", F.lit(round_)).alias("draw"))
+    members = members.withColumns({"beside": F.xxhash64(F.get("beside", F.lit(round_ % 3)), F.lit(round_)), "draw": F.xxhash64("node", F.lit(round_))})
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else members.withColumn("label", F.col("node"))
     order = F.struct("node") if round_ == 0 else F.struct("draw", "node")
-    tops = members.groupBy("j", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(order)["node"].alias("top"), F.min_by("label", order).alias("top_label"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("n > 1 and lo <> hi").drop("lo", "hi")
+    tops = members.groupBy("j", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(order)["node"].alias("top"), F.min_by("label", order).alias("top_label"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").drop("lo", "hi")
     several = members.join(tops, ["j", "bucket"])
     several = several.withColumn("deal", F.pmod(F.xxhash64("beside"), F.ceil(F.col("n") / BUCKET_ROWS)))
     w = Window.partitionBy("j", "bucket", "deal").orderBy("beside", "draw", "node")
@@ -207,6 +213,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links: components of the labels that links join, which are few, then each node's label's label."""
+    if labels is None:
+        return components(links)
+    ends = labels.withColumnRenamed("label", "x")
+    between = links.join(ends.withColumnsRenamed({"node": "a", "x": "la"}), "a", "left").join(ends.withColumnsRenamed({"node": "b", "x": "lb"}), "b", "left")
+    between = between.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    merged = components(between)
+    new = merged.join(labels.select("node"), "node", "left_anti")  # nodes without a label until now
+    moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return cut(moved.unionByName(new))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, copy_of) for each row of ``docs`` that has a doc_id.
 
@@ -220,9 +239,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     groups = cut(_sketched(rows).groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("node"), F.first("sketches").alias("sketches")))
     nodes = groups.select("node", "sketches").filter(F.size("sketches") > 0)
     texts = rows.select(F.col("doc_id").alias("node"), "text")
-    links, tried, labels = None, None, None
+    members = cut(_members(nodes))
+    tried, labels = None, None
     for round_ in range(MOST_ROUNDS):
-        pairs = _pairs(nodes, labels, round_)
+        pairs = _pairs(members, labels, round_)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -230,8 +250,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         if round_ and found.isEmpty():
             break
         tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        labels = joined(labels, found)
     named = rows.select("doc_id", *TEXT_KEY).join(groups.select(*TEXT_KEY, "node"), TEXT_KEY)
     out = named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"), F.col("node").alias("copy_of"))
     return out
