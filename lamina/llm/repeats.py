@@ -66,37 +66,56 @@ def sliding(a: np.ndarray, width: int, op) -> np.ndarray:
     return have if w == width else op(have[: len(a) - width + 1], have[width - w : width - w + len(a) - width + 1])
 
 
-class _Suffixes:
-    """Spans of equal length in rows of a code matrix, in order and compared by prefix hashes."""
+class Hashed:
+    """Rows of codes with their prefix hashes, column by column; made once for all that is compared in them."""
 
-    def __init__(self, codes: np.ndarray, row: np.ndarray, col: np.ndarray, length: int, base: int):
-        self.codes, self.row, self.col, self.length = codes, row, col, length
+    def __init__(self, codes: np.ndarray, base: int):
+        n, width = codes.shape
+        self.codes, self.n, self.width = codes, n, width
         with np.errstate(over="ignore"):
             b = np.uint64(base)
-            self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, b)]), dtype=np.uint64)
-            spread = mix(codes.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-            h = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-            for j in range(codes.shape[1]):
-                h[:, j + 1] = h[:, j] * b + spread[:, j]
-        self.h = h
+            self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(width, b)]), dtype=np.uint64)
+            spread = mix(np.arange(int(codes.max()) + 1 if codes.size else 1, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
+            columns = np.ascontiguousarray(codes.T)
+            h = np.zeros((width + 1, n), np.uint64)
+            for j in range(width):
+                np.multiply(h[j], b, out=h[j + 1])
+                h[j + 1] += spread[columns[j]]
+        self.flat, self.units = h.ravel(), columns.ravel()
+
+
+class _Suffixes:
+    """Spans of equal length in the rows of codes, compared by prefix hashes."""
+
+    def __init__(self, hashed: Hashed, row: np.ndarray, col: np.ndarray, length: int):
+        self.codes, self.row, self.col, self.length = hashed.codes, row, col, length
+        self.flat, self.units, self.n, self.power = hashed.flat, hashed.units, hashed.n, hashed.power
+        self.at = col * hashed.n + row  # where a span begins, column by column
+        self.begin = self.flat[self.at]
+        with np.errstate(over="ignore"):
+            self.whole = self.flat[self.at + length * hashed.n] - self.begin * self.power[length]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common extension, at most the span: binary search over prefix hashes."""
-        ra, ca, rb, cb = self.row[a], self.col[a], self.row[b], self.col[b]
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), self.length, np.int64)
-        ha, hb = self.h[ra, ca], self.h[rb, cb]
-        for _ in range(int(self.length).bit_length()):
-            mid = (lo + hi + 1) // 2
-            p = self.power[mid]
-            same = self.h[ra, ca + mid] - ha * p == self.h[rb, cb + mid] - hb * p
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
+        """Length of the longest common extension, at most the span: the whole first, then binary search over prefix hashes."""
+        out = np.full(len(a), self.length, np.int64)
+        apart = np.flatnonzero(self.whole[a] != self.whole[b])
+        if len(apart):
+            x, y = a[apart], b[apart]
+            ax, ay, hx, hy, n = self.at[x], self.at[y], self.begin[x], self.begin[y], self.n
+            lo, hi = np.zeros(len(apart), np.int64), np.full(len(apart), self.length - 1, np.int64)
+            for _ in range(int(self.length - 1).bit_length()):
+                mid = (lo + hi + 1) >> 1
+                p, step = self.power[mid], mid * n
+                same = self.flat[ax + step] - hx * p == self.flat[ay + step] - hy * p
+                lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+            out[apart] = lo
+        return out
 
     def before(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
         """Whether a sorts before b; ``ties`` where they are equal."""
-        n = self.common(a, b)
-        full, k = n >= self.length, np.minimum(n, self.length - 1)
-        return np.where(full, ties, self.codes[self.row[a], self.col[a] + k] < self.codes[self.row[b], self.col[b] + k])
+        k = self.common(a, b)
+        full, step = k >= self.length, np.minimum(k, self.length - 1) * self.n
+        return np.where(full, ties, self.units[self.at[a] + step] < self.units[self.at[b] + step])
 
     def verified(self, a: np.ndarray, b: np.ndarray) -> bool:
         """Whether all these pairs, equal by hash, are equal unit by unit."""
@@ -108,11 +127,11 @@ class _Suffixes:
         return True
 
 
-def classes(codes: np.ndarray, row: np.ndarray, col: np.ndarray, length: int, segment: np.ndarray) -> np.ndarray:
+def classes(hashed: dict[int, Hashed], codes: np.ndarray, row: np.ndarray, col: np.ndarray, length: int, segment: np.ndarray) -> np.ndarray:
     """A number for each span, equal for equal spans of one segment: a merge sort of all segments at once, in numpy steps.
 
     Runs double; each element finds its rank in the neighbouring run by binary search. Equal neighbours in the order are
-    checked unit by unit; after a collision of hashes all is done again with another base.
+    checked unit by unit; after a collision of hashes all is done again with another base. ``hashed`` keeps the hashes by base.
     """
     n = len(row)
     if not n:
@@ -126,7 +145,9 @@ def classes(codes: np.ndarray, row: np.ndarray, col: np.ndarray, length: int, se
     local = at - seg_lo
     bases = [*BASES, *(int(x) | 1 for x in np.random.default_rng(5).integers(1 << 62, 1 << 63, 6))]
     for base in bases:
-        s, order, width = _Suffixes(codes, row, col, length, base), start_order.copy(), 1
+        if base not in hashed:
+            hashed[base] = Hashed(codes, base)
+        s, order, width = _Suffixes(hashed[base], row, col, length), start_order.copy(), 1
         with np.errstate(over="ignore"):
             while width < size.max():
                 run = local // width
@@ -164,7 +185,8 @@ def repeated_offsets(scheme: Scheme, key: np.ndarray, doc: np.ndarray, before: n
     bits = np.uint64(1) << np.arange(len(offsets), dtype=np.uint64)
     whole = (valid * bits[None, :]).sum(1, dtype=np.uint64)
     _, group = np.unique(key, return_inverse=True)
-    cls = classes(codes, np.arange(n), np.zeros(n, np.int64), codes.shape[1], group)
+    hashed: dict[int, Hashed] = {}
+    cls = classes(hashed, codes, np.arange(n), np.zeros(n, np.int64), codes.shape[1], group)
     k = int(cls.max()) + 1 if n else 0
     least = np.full(k, np.iinfo(np.int64).max)
     np.minimum.at(least, cls, doc)
@@ -177,7 +199,7 @@ def repeated_offsets(scheme: Scheme, key: np.ndarray, doc: np.ndarray, before: n
     if len(mixed):
         c, i = np.nonzero(valid[rep[mixed]])
         c = mixed[c]
-        same = classes(codes, rep[c], scheme.hi - offsets[i], scheme.window, group[rep[c]] * len(offsets) + i)
+        same = classes(hashed, codes, rep[c], scheme.hi - offsets[i], scheme.window, group[rep[c]] * len(offsets) + i)
         first = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, same, least[c])
         again = first[same] < least[c]
