@@ -146,11 +146,11 @@ def spark_type(t: CqlType, udts: dict[str, T.StructType] | None = None) -> T.Dat
     if t.name == "frozen":
         return spark_type(t.args[0], udts)
     if t.name in ("list", "set"):
-        return T.ArrayType(spark_type(t.args[0], udts), containsNull=False)
+        return T.ArrayType(spark_type(t.args[0], udts))
     if t.name == "vector":
-        return T.ArrayType(spark_type(t.args[0], udts), containsNull=False)
+        return T.ArrayType(spark_type(t.args[0], udts))
     if t.name == "map":
-        return T.MapType(spark_type(t.args[0], udts), spark_type(t.args[1], udts), valueContainsNull=False)
+        return T.MapType(spark_type(t.args[0], udts), spark_type(t.args[1], udts))
     if t.name == "tuple":
         return T.StructType([T.StructField(f"_{i}", spark_type(a, udts)) for i, a in enumerate(t.args, 1)])
     if t.name == "udt":

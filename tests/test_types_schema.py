@@ -13,7 +13,7 @@ from lamina.errors import SchemaProblem
 def test_nested_types_in_any_case():
     t = L.parse_type("LIST<frozen<Map<text, SET<int>>>>")
     assert str(t) == "list<frozen<map<text, set<int>>>>"
-    assert L.spark_type(t) == T.ArrayType(T.MapType(T.StringType(), T.ArrayType(T.IntegerType(), False), False), False)
+    assert L.spark_type(t) == T.ArrayType(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
 
 
 def test_tuple_with_nested_commas():
