@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.common import cut
+
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("1101011", "1110011", "11011001")
 #: Items of fewer words are too common to prove anything; those below LONG words must occur whole, word for word.
@@ -83,7 +85,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_words: int = B
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = 2_000_000) -> DataFrame:
     """``docs`` without those in which an item was found; a row whose doc_id is null goes if any such row holds an item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct())  # kept, so that the texts are searched once
     few = bad.limit(broadcast_ids + 1).count() <= broadcast_ids
     return docs.join(F.broadcast(bad) if few else bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
 

@@ -28,7 +28,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sketches of a text, and k-mers in a sketch.
 SKETCHES, DEPTH = 32, 2
 #: Sketches that the first round looks at; the others see all.
-FIRST, MOST_ROUNDS = 8, 8
+FIRST, MOST_ROUNDS = 4, 8
 #: Rows of a bucket that are ordered in one task; a larger bucket is dealt out by a hash.
 BUCKET_ROWS = 20_000
 
@@ -181,7 +181,7 @@ def _pairs(members: DataFrame, labels: DataFrame | None, round_: int) -> DataFra
     w = Window.partitionBy("j", "bucket", "deal").orderBy("beside", "draw", "node")
     near = several.withColumns({"prev": F.lag("node").over(w), "prev_label": F.lag("label").over(w)})
     other = F.array(F.when(F.col("top_label") != F.col("label"), F.col("top")), F.when(F.col("prev_label") != F.col("label"), F.col("prev")))
-    out = near.select("node", F.explode(other).alias("other")).filter("other is not null and other <> node")
+    out = near.select("node", F.explode(F.array_distinct(F.array_compact(other))).alias("other")).filter("other <> node")
     return out.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 

@@ -33,8 +33,8 @@ def topic(n_tokens):
     """A topic by the form of the text: share of bars, of symbols, of digits, then length."""
     t = _text()
     n = F.length(t)
-    share = lambda chars: n - F.length(F.translate(t, chars, ""))
-    return F.when(n_tokens == 0, "empty").when(share("|") * 40 >= n, "table").when(share("$%&#*!") * 25 >= n, "symbols").when(share("0123456789") * 25 >= n, "numbers").when(n_tokens >= 400, "long").otherwise("short")
+    share = lambda chars: F.regexp_count(t, F.lit(chars))
+    return F.when(n_tokens == 0, "empty").when(share("[|]") * 40 >= n, "table").when(share("[$%&#*!]") * 25 >= n, "symbols").when(share("[0-9]") * 25 >= n, "numbers").when(n_tokens >= 400, "long").otherwise("short")
 
 
 def tagged(docs: DataFrame) -> DataFrame:
