@@ -148,8 +148,9 @@ def classes(hashed: dict[int, Hashed], codes: np.ndarray, row: np.ndarray, col:
         if base not in hashed:
             hashed[base] = Hashed(codes, base)
         s, order, width = _Suffixes(hashed[base], row, col, length), start_order.copy(), 1
+        sound = True  # colliding hashes may contradict each other: ranks then are no permutation
         with np.errstate(over="ignore"):
-            while width < size.max():
+            while sound and width < size.max():
                 run = local // width
                 sib_lo = seg_lo + (run ^ 1) * width
                 act = np.flatnonzero(sib_lo < seg_hi)
@@ -164,9 +165,11 @@ def classes(hashed: dict[int, Hashed], codes: np.ndarray, row: np.ndarray, col:
                     open_ = open_[lo[open_] < hi[open_]]
                 to = at.copy()
                 to[act] = seg_lo[act] + (run[act] // 2) * 2 * width + (local[act] - run[act] * width) + (lo - base_lo)
-                moved = np.empty_like(order)
+                moved = np.full_like(order, -1)
                 moved[to] = order
-                order, width = moved, 2 * width
+                order, width, sound = moved, 2 * width, bool((moved >= 0).all())
+            if not sound:
+                continue
             same = np.zeros(n, bool)
             pair = np.flatnonzero(seg[1:] == seg[:-1])
             same[pair + 1] = s.common(order[pair], order[pair + 1]) >= length
