@@ -34,7 +34,6 @@ def transport(supply: list[int], capacity: list[int], cost: np.ndarray) -> np.nd
         from_t, from_s = [-1] * m, [-1] * n
         heap = [(0.0, 0, i) for i in range(n) if left[i]]
         done_s, done_t = [False] * n, [False] * m
-        goal = -1
         while heap:
             d, side, k = heapq.heappop(heap)
             if side == 0:
@@ -50,16 +49,14 @@ def transport(supply: list[int], capacity: list[int], cost: np.ndarray) -> np.nd
                 if done_t[k]:
                     continue
                 done_t[k] = True
-                if room[k]:
-                    goal = k
-                    break
                 for i in range(n):
                     if flow[i, k] and not done_s[i]:
                         nd = d - cost[i, k] - pot_s[i] + pot_t[k]
                         if nd < dist_s[i] - 1e-12:
                             dist_s[i], from_s[i] = nd, k
                             heapq.heappush(heap, (nd, 0, i))
-        top = dist_t[goal]
+        goal = min((j for j in range(m) if room[j] and dist_t[j] < np.inf), key=lambda j: dist_t[j] + pot_t[j])  # true lengths: all starts have potential 0
+        top = max(d for d in dist_s + dist_t if d < np.inf)
         for i in range(n):
             pot_s[i] += min(dist_s[i], top)
         for j in range(m):
