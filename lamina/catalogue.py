@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.dialect.nodes import Table, walk
+from lamina.dialect.parser import parse
 from lamina.engine import Engine
 from lamina.operators import collections as C
 from lamina.operators import compaction as K
@@ -25,10 +27,10 @@ KEYS = {"events": (["user_id"], [("ts", "DESC"), "event_id"]), "orders": (["o_cu
 NOW = 1_704_067_200_000_000
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine over the tables of a folder. Times of Parquet come without a zone; they are UTC."""
+def engine(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES) -> Engine:
+    """An engine over tables of a folder: each costs a look at its files. Times of Parquet come without a zone; they are UTC."""
     out = Engine(spark, now=NOW)
-    for t in TABLES:
+    for t in tables:
         out.register(t, read(spark, sf_dir, t), *KEYS.get(t, (None, [])))
     return out
 
@@ -241,18 +243,17 @@ def collection_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir)
-    df, spec = e.catalog.find("events", NOW)
+    df, spec = engine(spark, sf_dir, ("events",)).catalog.find("events", NOW)
     return P.partition_scan(df, spec, {"user_id": 7}).select("event_id", "ts")
 
 
 def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, spec = engine(spark, sf_dir).catalog.find("conversations", NOW)
+    df, spec = engine(spark, sf_dir, ("conversations",)).catalog.find("conversations", NOW)
     return P.point_get(df, spec, {"conv_id": 3, "turn": 1}).select("conv_id", "turn", "role")
 
 
 def clustering_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, spec = engine(spark, sf_dir).catalog.find("orders", NOW)
+    df, spec = engine(spark, sf_dir, ("orders",)).catalog.find("orders", NOW)
     # o_orderdate descends, so the low end is the later date
     low, high = "1998-01-01 00:00:00", "1994-01-01 00:00:00"
     return P.clustering_range(df, spec, {"o_custkey": 7}, (low,), (high,)).select("o_orderkey", "o_orderdate")
@@ -287,7 +288,7 @@ def multi_file_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three ranges that cover the ring give each row once."""
-    df, spec = engine(spark, sf_dir).catalog.find("events", NOW)
+    df, spec = engine(spark, sf_dir, ("events",)).catalog.find("events", NOW)
     third = (1 << 64) // 3
     edges = [-(1 << 63), -(1 << 63) + third, -(1 << 63) + 2 * third, (1 << 63) - 1]
     parts = [P.token_range(df, spec, a, b) for a, b in zip(edges, edges[1:], strict=False)]
@@ -358,7 +359,10 @@ _OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 
 
 def _statement(name: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: engine(spark, sf_dir).execute(text, _PARAMS.get(name))
+    tree = parse(text)
+    named = {x.name.lower() for x in walk(tree) if isinstance(x, Table)}
+    needed = TABLES if "system.tables" in named else tuple(t for t in TABLES if t in named)
+    return lambda spark, sf_dir: engine(spark, sf_dir, needed).execute(text, _PARAMS.get(name))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
