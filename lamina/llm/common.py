@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
+import uuid
 import zipfile
 import zlib
 
@@ -62,9 +64,22 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows with their lineage cut: a table in the shared checkpoint folder.
+
+    A checkpoint would keep the plan's estimate of its size; in a loop of joins that is a product of products, whose digits
+    double each time until they fill the driver. A table's size is that of its files.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished rounds leave: plans, broadcasts and the executors' shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def held_out(doc_id):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import byte_codes, cut, encode, mix, prefix_hashes, ship, span_hashes
+from lamina.llm.common import byte_codes, cut, encode, mix, prefix_hashes, release, ship, span_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: Sketches of a text, and k-mers in a sketch.
@@ -179,8 +179,9 @@ def _pairs(members: DataFrame, labels: DataFrame | None, round_: int) -> DataFra
     several = members.join(tops, ["j", "bucket"])
     several = several.withColumn("deal", F.pmod(F.xxhash64("beside"), F.ceil(F.col("n") / BUCKET_ROWS)))
     w = Window.partitionBy("j", "bucket", "deal").orderBy("beside", "draw", "node")
-    near = several.withColumns({"prev": F.lag("node").over(w), "prev_label": F.lag("label").over(w)})
-    other = F.array(F.when(F.col("top_label") != F.col("label"), F.col("top")), F.when(F.col("prev_label") != F.col("label"), F.col("prev")))
+    back = range(1, 2 if round_ == 0 else 4)  # later rounds hold few classes: three neighbours make them fewer
+    near = several.withColumns({f"prev{k}": F.lag(F.struct("node", "label"), k).over(w) for k in back})
+    other = F.array(F.when(F.col("top_label") != F.col("label"), F.col("top")), *[F.when(F.col(f"prev{k}.label") != F.col("label"), F.col(f"prev{k}.node")) for k in back])
     out = near.select("node", F.explode(F.array_distinct(F.array_compact(other))).alias("other")).filter("other <> node")
     return out.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
@@ -210,6 +211,7 @@ def components(links: DataFrame) -> DataFrame:
         step = cut(least.join(jump, "least", "left").select("node", F.least("least", F.coalesce("far", "least")).alias("label"), F.col("label").alias("was")))
         labels = step.select("node", "label")
         if step.filter("label <> was").isEmpty():
+            release(links.sparkSession)
             return labels
 
 
@@ -251,6 +253,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             break
         tried = pairs if tried is None else tried.union(pairs)
         labels = joined(labels, found)
+        release(docs.sparkSession)
     named = rows.select("doc_id", *TEXT_KEY).join(groups.select(*TEXT_KEY, "node"), TEXT_KEY)
     out = named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"), F.col("node").alias("copy_of"))
     return out
