@@ -9,6 +9,7 @@ by the numbers of shards and never by the rows. A group of equal texts above a q
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -253,9 +254,25 @@ def reshard(docs: DataFrame, p: Plan) -> DataFrame:
 
 
 def rewrite(resharded: DataFrame, path: str) -> list[int]:
-    """Write the shards that receive or lose rows under ``path``/shard=N; the others keep their files. Returns those written."""
+    """Write the shards that receive or lose rows under ``path``/shard=N; the others keep their files. Returns those written.
+
+    New files are staged beside the shards, under a name that readers skip, and swapped in once all are there, so ``resharded``
+    may read ``path`` itself. A shard that lost all its rows is gone afterwards.
+    """
+    spark = resharded.sparkSession
     moved = resharded.filter("shard_moved")
     touched = sorted({r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()})  # shards only
+    if not touched:
+        return touched
+    stage = f"{path.rstrip('/')}/_stage-{uuid.uuid4().hex}"
     spread = F.pmod(F.xxhash64("text"), F.lit(8))
-    resharded.filter(F.col("shard").isin(touched)).repartition("shard", spread).write.mode("overwrite").partitionBy("shard").parquet(path)
+    resharded.filter(F.col("shard").isin(touched)).repartition("shard", spread).write.partitionBy("shard").parquet(f"{stage}/new")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at(f"{stage}/old"))
+    for k in touched:
+        for source, target in ((f"{path}/shard={k}", f"{stage}/old/shard={k}"), (f"{stage}/new/shard={k}", f"{path}/shard={k}")):
+            if fs.exists(at(source)) and not fs.rename(at(source), at(target)):
+                raise OSError(f"cannot move {source} to {target}; what is replaced is kept in {stage}/old")
+    fs.delete(at(stage), True)
     return touched

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import order_minhash as O
 from lamina.llm import pii as P
@@ -236,6 +237,23 @@ def test_shards_odd_rows_and_rewrite(spark, odd, tmp_path):
     assert H.assign(odd.limit(0), H.plan(odd.limit(0))).count() == 0
 
 
+def test_rewrite_of_an_existing_layout(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = [(k, f"text {k}", k % 4) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(path)
+    to = {0: 1, 3: 1}  # shards 0 and 3 go to shard 1, so 0 and 3 end empty and 2 is untouched
+    have = spark.read.parquet(path)
+    old = F.col("shard").alias("old_shard")
+    new = F.when(F.col("shard").isin(list(to)), 1).otherwise(F.col("shard")).alias("shard")
+    out = have.select("doc_id", "text", new, old, (new != F.col("shard")).alias("shard_moved"))
+    kept = sorted((tmp_path / "shards" / "shard=2").glob("*.parquet"))
+    assert H.rewrite(out, path) == [0, 1, 3]
+    assert sorted((tmp_path / "shards" / "shard=2").glob("*.parquet")) == kept
+    got = {(r.doc_id, r.text, r.shard) for r in spark.read.parquet(path).collect()}
+    assert got == {(k, t, to.get(s, s)) for k, t, s in rows}
+    assert sorted(x for x in os.listdir(path) if not x.endswith("_SUCCESS") and not x.endswith(".crc")) == ["shard=1", "shard=2"]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
