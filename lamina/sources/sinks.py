@@ -65,8 +65,11 @@ def to_orc(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def to_excel(df: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
-    """A workbook, through pandas on the driver; needs an Excel writer for pandas."""
-    flat(df).limit(most_rows).toPandas().to_excel(path, index=False)
+    """A workbook, through pandas on the driver, up to ``most_rows``; needs an Excel writer for pandas."""
+    rows = flat(df).limit(most_rows + 1).toPandas()
+    if len(rows) > most_rows:
+        raise QueryProblem(f"more than {most_rows} rows: write CSV or Parquet")
+    rows.to_excel(path, index=False)
 
 
 def sql_literal(c: Column, kind: T.DataType) -> Column:

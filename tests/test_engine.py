@@ -8,6 +8,7 @@ from lamina.engine import Engine, quick_query
 from lamina.errors import QueryProblem, SchemaProblem, SyntaxProblem
 from lamina.operators import reconcile as R
 from lamina.operators.compaction import Generation, choose
+from lamina.sources import sinks
 
 NOW = 1_700_000_000_000_000
 
@@ -206,6 +207,17 @@ def test_exports(people, spark, tmp_path):
     assert quick_query(spark, str(tmp_path / "x.parquet"), "SELECT COUNT(*) AS n FROM data").first().n == 3
 
 
+def test_excel_never_cuts(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    wrote = []
+    monkeypatch.setattr(pd.DataFrame, "to_excel", lambda self, path, index: wrote.append(len(self)))
+    with pytest.raises(QueryProblem):
+        sinks.to_excel(spark.range(4), str(tmp_path / "x.xlsx"), most_rows=3)
+    sinks.to_excel(spark.range(3), str(tmp_path / "x.xlsx"), most_rows=3)
+    assert wrote == [3]
+
+
 def test_explain_and_stats(people):
     assert "Scan" in people.explain("SELECT name FROM people") or "Aggregate" in people.explain("SELECT name FROM people")
     assert people.execute("EXPLAIN SELECT name FROM people").count() > 3
