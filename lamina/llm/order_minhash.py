@@ -3,11 +3,11 @@
 A sketch takes the k-mers of words of least hash, each labelled by its occurrence, and keeps their order in the text; texts
 that are near in edit distance share sketches. Texts that share one are candidates. In each bucket a text is compared with the
 bucket's first one and with its neighbour, by further sketches, so the work is linear in the bucket; later rounds go on with
-buckets that still hold several classes, in other orders, until a round finds no link. A candidate is a near copy if a banded
-alignment of its words changes at most 1 - ``similarity`` of them. Exact copies are one text from the start.
+buckets that still hold several classes, in other orders. A candidate is a near copy if a banded alignment of its words changes
+at most 1 - ``similarity`` of them. Exact copies are one text from the start.
 
-Pairs that share 80 % of their five-word shingles share a sketch all but surely (chance of a miss under 1e-13), those that
-share 40 % in 99 of 100 cases; pairs less alike are found through others of their class, or not at all.
+The rounds only join most classes cheaply. What they leave is finished exactly: near copies must share so many runs of two
+words that the rarest runs of both meet (see ``_rest``), so all pairs of different classes are verified or ruled out.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import byte_codes, cut, encode, mix, prefix_hashes, release, ship, span_hashes
+from lamina.llm.common import byte_codes, cut, encode, mix, pack, partitions, prefix_hashes, release, ship, span_hashes, unpack
 
 WORDS, SIMILARITY = 5, 0.8
 #: Sketches of a text, and k-mers in a sketch.
@@ -31,6 +31,10 @@ SKETCHES, DEPTH = 32, 2
 FIRST, MOST_ROUNDS = 4, 8
 #: Rows of a bucket that are ordered in one task; a larger bucket is dealt out by a hash.
 BUCKET_ROWS = 20_000
+#: Of the exact join: a text shows len / EXTRA runs more than it must; texts a part; texts that share a run from which it is
+#: dealt into blocks. Texts, their bytes, and runs, from which the order of runs is taken; results do not depend on the order.
+EXTRA, PART_TEXTS, BLOCK = 10, 2_000, 2_000
+ORDER_TEXTS, ORDER_BYTES, ORDER_RUNS = 20_000, 20_000, 500_000
 
 _CODES = byte_codes(3)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -186,6 +190,172 @@ def _pairs(members: DataFrame, labels: DataFrame | None, round_: int) -> DataFra
     return out.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _least_overlap(n: np.ndarray, similarity: float, width: int) -> np.ndarray:
+    """Runs of ``width`` words that a text of n words shares at least with any near copy of n words or more."""
+    f = lambda m: m - (width - 1) - width * ((1 - similarity) * m + 1e-9).astype(np.int64)
+    return np.min([f(n + k) for k in range(int((width + 1) / (1 - width * (1 - similarity))) + 3)], axis=0)
+
+
+def _extra(n: np.ndarray, similarity: float, width: int) -> np.ndarray:
+    """Runs that a text of n words shows beyond the fewest by which it meets its near copies."""
+    return np.minimum(n // EXTRA, _least_overlap(n, similarity, width) - 1)
+
+
+def _width(similarity: float) -> int:
+    """Two words where near copies of any length share a run of two; else one."""
+    n = np.arange(WORDS, 200)
+    return 2 if similarity > 0.5 and _least_overlap(n, similarity, 2).min() >= 1 else 1
+
+
+def _runs(data: bytes, width: int) -> np.ndarray:
+    """The runs of ``width`` words of a text as a set: each is told apart by its occurrence."""
+    h = kmers(data, width)
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    seen = np.empty(len(h), np.uint64)
+    seen[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate([first, [len(h)]])))
+    return mix(h + seen * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _common(texts: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that several of a sample's texts hold, sorted, and in how many texts of the table about. Only order and dealing use it."""
+    h = F.xxhash64("text")
+    share = int((1 << 20) * min(1.0, ORDER_TEXTS / max(1, n)))
+    drawn = texts.select("text", h.alias("h")).filter(F.pmod(F.col("h"), F.lit(1 << 20)) < share).dropDuplicates(["h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            with np.errstate(over="ignore"):
+                got = [_runs(encode(t)[:ORDER_BYTES], width) for t in b.column("text").to_pylist()]
+            runs, times = np.unique(np.concatenate([*got, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(times)], names=["run", "n"])
+
+    top = drawn.mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n")).limit(ORDER_RUNS).toArrow()
+    runs, times = top.column("run").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(runs)
+    return runs[order], (times[order] * max(1.0, n / ORDER_TEXTS)).astype(np.int64)
+
+
+def _rest(texts: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """All pairs a < b of different classes that may be near copies, by an exact join on rare runs of words.
+
+    An edit breaks at most ``width`` runs, so near copies share at least T of theirs. In any one order of all runs, here from rare to
+    common, the first len - T + 1 + e runs of both then have 1 + e in common. Pairs that have fewer, whose lengths differ too
+    much, or that are of one class are ruled out; the others are returned. Runs that very many texts share are dealt into blocks,
+    and each pair of blocks meets.
+    """
+    spark, n, width, block_texts = texts.sparkSession, nodes.count(), _width(similarity), BLOCK
+    parts = max(partitions(spark), -(-n // PART_TEXTS))
+    common = spark.sparkContext.broadcast(_common(texts, n, width))
+    held = nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    held = texts.join(held, "node")
+
+    def first_runs(words: int, have: int) -> int:
+        n = np.array([words])
+        return have - int(_least_overlap(n, similarity, width)[0]) + 1 + int(_extra(n, similarity, width)[0])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, times = common.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                node, label = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
+                words, all_, row = np.zeros(b.num_rows, np.int32), [], []
+                with np.errstate(over="ignore"):
+                    for k, t in enumerate(b.column("text").to_pylist()):
+                        x = _runs(encode(t), width)
+                        m = len(x) + width - 1
+                        if m < WORDS:
+                            continue  # equal words only: all its sketches are equal
+                        words[k] = m
+                        first = first_runs(m, len(x))
+                        where = np.searchsorted(runs, x)
+                        where[where == len(runs)] = 0
+                        often = np.where(runs[where] == x, times[where], 0) if len(runs) else np.zeros(len(x), np.int64)
+                        order = np.lexsort((x, often))[:first]
+                        x, often = x[order], often[order]
+                        for j in np.flatnonzero(often > block_texts).tolist():
+                            blocks = -(-int(often[j]) // block_texts)
+                            mine = int(mix(np.array([node[k]]).view(np.uint64))[0] % np.uint64(blocks))
+                            other = np.arange(blocks, dtype=np.uint64)
+                            low, high = np.minimum(other, np.uint64(mine)), np.maximum(other, np.uint64(mine))
+                            all_.append(mix(x[j] + (low * np.uint64(blocks) + high + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+                            row.append(np.full(blocks, k, np.uint16))
+                        x = x[often <= block_texts]
+                        all_.append(x)
+                        row.append(np.full(len(x), k, np.uint16))
+                if not all_:
+                    continue
+                x, row_ = np.concatenate(all_), np.concatenate(row)
+                part = (x % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((x >> np.uint64(32), part))
+                x, row_, part = (x[order] >> np.uint64(32)).astype(np.uint32), row_[order], part[order]
+                cut_at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+                out: tuple[list, list] = ([], [])
+                for lo, hi in zip(cut_at, cut_at[1:], strict=False):
+                    used, mine = np.unique(row_[lo:hi], return_inverse=True)
+                    out[0].append(int(part[lo]))
+                    out[1].append(pack(x=x[lo:hi], row=mine.astype(np.uint16), node=node[used], label=label[used], words=words[used]))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["part", "block"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list[bytes]] = {}
+        for b in batches:
+            for p, block in zip(b.column("part").to_pylist(), b.column("block").to_pylist(), strict=True):
+                blocks.setdefault(p, []).append(block)
+        while blocks:
+            for a, b, shared, need in _meetings(blocks.popitem()[1], similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a, b, shared, need)], names=["a", "b", "shared", "need"])
+
+    dealt = held.select("node", "label", "text").mapInArrow(deal, "part int, block binary").repartition(parts, "part")
+    met = dealt.mapInArrow(meet, "a long, b long, shared long, need long")
+    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
+
+
+def _meetings(blocks: list[bytes], similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, runs shared, runs needed) of the pairs of different classes that share a run in these blocks, some at a time."""
+    cols: dict[str, list[np.ndarray]] = {k: [] for k in ("x", "row", "node", "label", "words")}
+    base = 0
+    for block in blocks:
+        got = unpack(block)
+        got["row"] = got["row"].astype(np.int64) + base
+        base += len(got["node"])
+        for k, v in cols.items():
+            v.append(got[k])
+    x, row, node, label, words = (np.concatenate(cols[k]) for k in cols)
+    order = np.argsort(x, kind="stable")
+    x, row = x[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    several = np.minimum.reduceat(label[row], first) != np.maximum.reduceat(label[row], first)
+    keep = np.repeat(several, np.diff(np.concatenate([first, [len(x)]])))
+    x, row = x[keep], row[keep]
+    words = words.astype(np.int64)
+    least, extra = words - ((1 - similarity) * words + 1e-9).astype(np.int64), _extra(words, similarity, _width(similarity))
+
+    def flush(codes: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        code, times = np.unique(np.concatenate(codes), return_counts=True)
+        i, j = code // base, code % base
+        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), times, 1 + np.minimum(extra[i], extra[j])
+
+    at, step, codes, held = np.arange(len(x)), 0, [], 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(x)]
+        at = at[x[at] == x[at + step]]
+        i, j = row[at], row[at + step]
+        longer = np.where(words[i] >= words[j], i, j)
+        ok = (label[i] != label[j]) & (node[i] != node[j]) & (np.minimum(words[i], words[j]) >= least[longer])
+        i, j = i[ok], j[ok]
+        codes.append(np.minimum(i, j) * base + np.maximum(i, j))
+        held += len(i)
+        if held > 4_000_000:
+            yield flush(codes)
+            codes, held = [], 0
+    if held:
+        yield flush(codes)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs that are near copies. Only texts that some pair names are moved."""
     named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -249,11 +419,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         found = cut(_verified(pairs, texts, similarity).distinct())
+        tried = pairs if tried is None else tried.union(pairs)
         if round_ and found.isEmpty():
             break
-        tried = pairs if tried is None else tried.union(pairs)
         labels = joined(labels, found)
         release(docs.sparkSession)
+    pairs = _rest(texts, nodes, labels, similarity)
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    labels = joined(labels, cut(_verified(pairs, texts, similarity).distinct()))
+    release(docs.sparkSession)
     named = rows.select("doc_id", *TEXT_KEY).join(groups.select(*TEXT_KEY, "node"), TEXT_KEY)
     out = named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"), F.col("node").alias("copy_of"))
     return out

@@ -87,6 +87,41 @@ def test_large_group_of_near_copies(spark):
     assert {r.class_id for r in got if r.doc_id < 1000} == {0} and all(r.class_id == r.doc_id for r in got if r.doc_id >= 1000)
 
 
+def test_every_fifth_word_changed(spark):
+    word = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(word)), (2, " ".join(w if i % 5 else f"x{i}" for i, w in enumerate(word))), (3, " ".join(w if i % 5 else f"y{i}" for i, w in enumerate([*word, "z"])))]
+    got = {r.doc_id: r.class_id for r in O.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_all_pairs_around_one_passage(spark, monkeypatch):
+    rng = random.Random(11)
+    shared, rows = [f"p{i}" for i in range(60)], []
+    for g in range(60):
+        own = [f"g{g}w{i}" for i in range(rng.randint(5, 80))]
+        for _ in range(5):
+            text = [f"n{rng.randrange(10**6)}" if rng.random() < 0.18 else w for w in own]
+            rows.append((len(rows), " ".join(text if g % 3 == 0 else shared + text)))
+    parent = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if O.similar(rows[a][1].encode(), rows[b][1].encode()):
+                x, y = a, b
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                parent[max(x, y)] = min(x, y)
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    monkeypatch.setattr(O, "BLOCK", 20)
+    monkeypatch.setattr(O, "MOST_ROUNDS", 1)  # most is left to the exact join
+    got = {r.doc_id: r.class_id for r in O.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: find(k) for k in range(len(rows))}
+
+
 def test_near_odd_rows(spark, odd):
     got = {r.doc_id: r.class_id for r in O.near_duplicates(odd).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, 9: 9, 10: 10}
