@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import io
 import os
+import re
 import uuid
 import zipfile
 import zlib
@@ -50,30 +51,66 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; set one only where none is set, as in tests."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder. Only a local master, as in tests, gets a folder of its own where none is set."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    have = sc._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        return have.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="lamina-checkpoint-")
     sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut: a table in the shared checkpoint folder.
+    """The same rows with their lineage cut: a table in the shared checkpoint folder, until ``drop``.
 
     A checkpoint would keep the plan's estimate of its size; in a loop of joins that is a product of products, whose digits
     double each time until they fill the driver. A table's size is that of its files.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lamina_table = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more; other frames are left alone."""
+    for t in tables:
+        path = getattr(t, "_lamina_table", None)
+        if path:
+            at = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own that no column of ``df`` has."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: Ids of 8 bytes that are broadcast at most, some 100 MB as a hashed relation; beyond, ids meet rows by a shuffle.
+FEW_IDS = 2_000_000
+
+
+def having(rows: DataFrame, ids: DataFrame, key: str, most: int = FEW_IDS) -> DataFrame:
+    """Rows whose key is among ``ids`` (a kept table of distinct ids, counted first)."""
+    few = ids.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
 def release(spark: SparkSession) -> None:

@@ -1,13 +1,13 @@
 """Near-duplicates by Order MinHash (operator 10).
 
 A sketch takes the k-mers of words of least hash, each labelled by its occurrence, and keeps their order in the text; texts
-that are near in edit distance share sketches. Texts that share one are candidates. In each bucket a text is compared with the
-bucket's first one and with its neighbour, by further sketches, so the work is linear in the bucket; later rounds go on with
-buckets that still hold several classes, in other orders. A candidate is a near copy if a banded alignment of its words changes
-at most 1 - ``similarity`` of them. Exact copies are one text from the start.
+that are near in edit distance share sketches. Texts that share one are candidates: in each bucket a text is compared with the
+bucket's first one, so the work is linear in the bucket. First each text meets the one that it shares most buckets with, then,
+where that left them in different classes, the others. A candidate is a near copy if a banded alignment of its words changes at
+most 1 - ``similarity`` of them. Exact copies are one text from the start.
 
-The rounds only join most classes cheaply. What they leave is finished exactly: near copies must share so many runs of two
-words that the rarest runs of both meet (see ``_rest``), so all pairs of different classes are verified or ruled out.
+What the buckets leave is finished exactly: near copies must share so many runs of two words that the rarest runs of both meet
+(see ``_rest``), so all pairs of different classes are verified or ruled out. There is no limit on rounds or partners.
 """
 
 from __future__ import annotations
@@ -22,19 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import byte_codes, cut, encode, mix, pack, partitions, prefix_hashes, release, ship, span_hashes, unpack
+from lamina.llm.common import byte_codes, cut, drop, encode, fresh, having, mix, pack, partitions, prefix_hashes, release, ship, span_hashes, unpack
 
 WORDS, SIMILARITY = 5, 0.8
 #: Sketches of a text, and k-mers in a sketch.
 SKETCHES, DEPTH = 32, 2
-#: Sketches that the first round looks at; the others see all.
-FIRST, MOST_ROUNDS = 4, 8
-#: Rows of a bucket that are ordered in one task; a larger bucket is dealt out by a hash.
-BUCKET_ROWS = 20_000
 #: Of the exact join: a text shows len / EXTRA runs more than it must; texts a part; texts that share a run from which it is
-#: dealt into blocks. Texts, their bytes, and runs, from which the order of runs is taken; results do not depend on the order.
-EXTRA, PART_TEXTS, BLOCK = 10, 2_000, 2_000
-ORDER_TEXTS, ORDER_BYTES, ORDER_RUNS = 20_000, 20_000, 500_000
+#: dealt into blocks; pairs that are counted at once.
+EXTRA, PART_TEXTS, BLOCK, PAIRS = 10, 16_384, 2_000, 4_000_000
+#: Counts of runs, by which runs are ordered from rare to common, are kept by hash in at most so many bins, four for each
+#: document. The order decides how much is compared, never the result.
+MOST_BINS, RANGES = 1 << 24, 64
 
 _CODES = byte_codes(3)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -42,30 +40,39 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def kmers(data: bytes, k: int = WORDS) -> np.ndarray:
-    """Hashes of the runs of k words in order; of all words if there are fewer."""
+def words_of(data: bytes) -> np.ndarray:
+    """Hashes of the words in order."""
     raw = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]]).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    if not len(begin):
+    return mix(span_hashes(prefix_hashes(_CODES[raw]), begin, end)) if len(begin) else np.zeros(0, np.uint64)
+
+
+def kmers(words: np.ndarray, k: int = WORDS) -> np.ndarray:
+    """Hashes of the runs of k words in order; of all words if there are fewer."""
+    if not len(words):
         return np.zeros(0, np.uint64)
-    words = mix(span_hashes(prefix_hashes(_CODES[raw]), begin, end))
     prefix, n = prefix_hashes(words), max(1, len(words) - k + 1)
     at = np.arange(n)
     return span_hashes(prefix, at, np.minimum(at + k, len(words)))
 
 
-def sketch(data: bytes, sketches: int = SKETCHES, depth: int = DEPTH) -> np.ndarray:
-    """The Order MinHash sketches of a text; none for a text without words."""
-    h = kmers(data)
-    if not len(h):
-        return np.zeros(0, np.int64)
+def labelled(h: np.ndarray) -> np.ndarray:
+    """Each hash with the number of its occurrence in it, so that repeats differ."""
     order = np.argsort(h, kind="stable")
     s = h[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     seen = np.empty(len(h), np.uint64)
     seen[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate([first, [len(h)]])))
-    label = mix(h + seen * np.uint64(0xD6E8FEB86659FD93))
+    return mix(h + seen * np.uint64(0xD6E8FEB86659FD93))
+
+
+def sketch(words: np.ndarray, sketches: int = SKETCHES, depth: int = DEPTH) -> np.ndarray:
+    """The Order MinHash sketches of a text's words; none for a text without words."""
+    h = kmers(words)
+    if not len(h):
+        return np.zeros(0, np.int64)
+    label = labelled(h)
     out = np.empty(sketches, np.uint64)
     d = min(depth, len(h))
     step = max(1, 4_000_000 // len(h))  # long texts a few sketches at a time
@@ -150,44 +157,74 @@ def _texts(docs: DataFrame) -> DataFrame:
 TEXT_KEY = ["k1", "k2", "k3"]
 
 
-def _sketched(texts: DataFrame) -> DataFrame:
-    kinds = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("k3", pa.int32()), ("doc_id", pa.int64()), ("sketches", pa.list_(pa.int64()))])
+def _sketched(texts: DataFrame, bins: int, width: int) -> DataFrame:
+    """For each row its sketches and number of words; for each task its counts of runs by bin, a row for each range of bins."""
+    kinds = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("k3", pa.int32()), ("doc_id", pa.int64()), ("words", pa.int32()), ("sketches", pa.list_(pa.int64())), ("range", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(bins, np.uint32)
         for b in batches:
+            got, size = [], []
             with np.errstate(over="ignore"):
-                got = [sketch(encode(t)) for t in b.column("text").to_pylist()]
+                for t in b.column("text").to_pylist():
+                    w = words_of(encode(t))
+                    got.append(sketch(w))
+                    size.append(len(w))
+                    bin_, times = np.unique(kmers(w, width) % np.uint64(bins), return_counts=True)
+                    counts[bin_.astype(np.int64)] += times.astype(np.uint32)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(x).cast(kinds.field(x).type) for x in ("k1", "k2", "k3", "doc_id")] + [lists], schema=kinds)
+            none = [pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(x).cast(kinds.field(x).type) for x in ("k1", "k2", "k3", "doc_id")] + [pa.array(size, pa.int32()), lists, *none], schema=kinds)
+        if counts.any():
+            step = bins // RANGES
+            rows = [{"range": r, "counts": pack(n=counts[r * step : (r + 1) * step])} for r in range(RANGES)]
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return texts.select(*TEXT_KEY, "doc_id", "text").mapInArrow(run, "k1 long, k2 long, k3 int, doc_id long, sketches array<long>")
+    return texts.select(*TEXT_KEY, "doc_id", "text").mapInArrow(run, "k1 long, k2 long, k3 int, doc_id long, words int, sketches array<long>, range int, counts binary")
 
 
-def _members(nodes: DataFrame) -> DataFrame:
-    """(node, j, bucket, beside): the buckets that several texts share, with three other sketches to order them by."""
-    all_ = nodes.select("node", "sketches", F.posexplode("sketches").alias("j", "bucket"))
-    beside = F.array(*[F.get(F.col("sketches"), F.pmod(F.col("j") + k, F.lit(SKETCHES))) for k in (1, 6, 17)])
-    shared = all_.groupBy("j", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("j", "bucket")
-    return all_.join(shared, ["j", "bucket"]).select("node", "j", "bucket", beside.alias("beside"))
+def _frequency(sketched: DataFrame, bins: int) -> np.ndarray:
+    """How many runs of the table fall into each bin: summed range by range, a number for each bin reaches the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r, block in zip(b.column("range").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                n = unpack(block)["n"].astype(np.int64)
+                total[r] = total[r] + n if r in total else n
+        for r, n in total.items():
+            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "counts": pa.array([pack(n=n)], pa.binary())})
+
+    summed = sketched.filter("counts is not null").select("range", "counts").repartition(RANGES, "range").mapInArrow(add, "range int, counts binary")
+    out, step = np.zeros(bins, np.int64), bins // RANGES
+    for r in summed.collect():  # RANGES rows, MOST_BINS numbers in all
+        out[r["range"] * step : (r["range"] + 1) * step] = unpack(bytes(r["counts"]))["n"]
+    return out
 
 
-def _pairs(members: DataFrame, labels: DataFrame | None, round_: int) -> DataFrame:
-    """Candidate pairs a < b: in each bucket with several classes, each text with the first and with its neighbour of another class."""
-    if round_ == 0:
-        members = members.filter(F.col("j") < FIRST)
-    members = members.withColumns({"beside": F.xxhash64(F.get("beside", F.lit(round_ % 3)), F.lit(round_)), "draw": F.xxhash64("node", F.lit(round_))})
-    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else members.withColumn("label", F.col("node"))
-    order = F.struct("node") if round_ == 0 else F.struct("draw", "node")
-    tops = members.groupBy("j", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(order)["node"].alias("top"), F.min_by("label", order).alias("top_label"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").drop("lo", "hi")
-    several = members.join(tops, ["j", "bucket"])
-    several = several.withColumn("deal", F.pmod(F.xxhash64("beside"), F.ceil(F.col("n") / BUCKET_ROWS)))
-    w = Window.partitionBy("j", "bucket", "deal").orderBy("beside", "draw", "node")
-    back = range(1, 2 if round_ == 0 else 4)  # later rounds hold few classes: three neighbours make them fewer
-    near = several.withColumns({f"prev{k}": F.lag(F.struct("node", "label"), k).over(w) for k in back})
-    other = F.array(F.when(F.col("top_label") != F.col("label"), F.col("top")), *[F.when(F.col(f"prev{k}.label") != F.col("label"), F.col(f"prev{k}.node")) for k in back])
-    out = near.select("node", F.explode(F.array_distinct(F.array_compact(other))).alias("other")).filter("other <> node")
-    return out.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _lengths_fit(a: str, b: str, similarity: float):
+    """Texts of these numbers of words can be near copies."""
+    longer = F.greatest(a, b)
+    return F.least(a, b) >= longer - F.floor(longer * (1 - similarity) + 1e-9)
+
+
+def _candidates(groups: DataFrame, similarity: float) -> DataFrame:
+    """(node, rep, shared): the first text of each bucket that a text is in, and in how many of its buckets that is the first."""
+    members = groups.select("node", "words", F.explode("sketches").alias("bucket"))
+    first = members.groupBy("bucket").agg(F.min(F.struct("node", "words")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = cut(first.select("bucket", F.col("first.node").alias("rep"), F.col("first.words").alias("rep_words")))
+    met = members.join(first, "bucket").filter((F.col("node") != F.col("rep")) & _lengths_fit("words", "rep_words", similarity))
+    out = cut(met.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("shared")))
+    drop(first)
+    return out
+
+
+def _apart(pairs: DataFrame, labels: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs whose ends are of different classes, with those as la and lb."""
+    ends = labels.withColumnRenamed("label", "x")
+    out = pairs.join(ends.withColumnsRenamed({"node": a, "x": "la"}), a, "left").join(ends.withColumnsRenamed({"node": b, "x": "lb"}), b, "left")
+    return out.withColumns({"la": F.coalesce("la", a), "lb": F.coalesce("lb", b)}).filter("la <> lb")
 
 
 def _least_overlap(n: np.ndarray, similarity: float, width: int) -> np.ndarray:
@@ -207,38 +244,14 @@ def _width(similarity: float) -> int:
     return 2 if similarity > 0.5 and _least_overlap(n, similarity, 2).min() >= 1 else 1
 
 
-def _runs(data: bytes, width: int) -> np.ndarray:
-    """The runs of ``width`` words of a text as a set: each is told apart by its occurrence."""
-    h = kmers(data, width)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    seen = np.empty(len(h), np.uint64)
-    seen[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate([first, [len(h)]])))
-    return mix(h + seen * np.uint64(0xD6E8FEB86659FD93))
-
-
-def _common(texts: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that several of a sample's texts hold, sorted, and in how many texts of the table about. Only order and dealing use it."""
-    h = F.xxhash64("text")
-    share = int((1 << 20) * min(1.0, ORDER_TEXTS / max(1, n)))
-    drawn = texts.select("text", h.alias("h")).filter(F.pmod(F.col("h"), F.lit(1 << 20)) < share).dropDuplicates(["h"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            with np.errstate(over="ignore"):
-                got = [_runs(encode(t)[:ORDER_BYTES], width) for t in b.column("text").to_pylist()]
-            runs, times = np.unique(np.concatenate([*got, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(times)], names=["run", "n"])
-
-    top = drawn.mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n")).limit(ORDER_RUNS).toArrow()
-    runs, times = top.column("run").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(runs)
-    return runs[order], (times[order] * max(1.0, n / ORDER_TEXTS)).astype(np.int64)
+def _runs(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``width`` words of a text as a set, each told apart by its occurrence, and the runs' plain hashes."""
+    h = kmers(words, width)
+    return labelled(h), h
 
 
-def _rest(texts: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """All pairs a < b of different classes that may be near copies, by an exact join on rare runs of words.
+def _rest(texts: DataFrame, nodes: DataFrame, labels: DataFrame, frequency: np.ndarray, similarity: float) -> DataFrame:
+    """All pairs (a, b, shared) of different classes that may be near copies, by an exact join on rare runs of words.
 
     An edit breaks at most ``width`` runs, so near copies share at least T of theirs. In any one order of all runs, here from rare to
     common, the first len - T + 1 + e runs of both then have 1 + e in common. Pairs that have fewer, whose lengths differ too
@@ -247,7 +260,8 @@ def _rest(texts: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: flo
     """
     spark, n, width, block_texts = texts.sparkSession, nodes.count(), _width(similarity), BLOCK
     parts = max(partitions(spark), -(-n // PART_TEXTS))
-    common = spark.sparkContext.broadcast(_common(texts, n, width))
+    usual = int(frequency.mean()) if len(frequency) else 0
+    known = spark.sparkContext.broadcast(frequency)  # MOST_BINS numbers
     held = nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     held = texts.join(held, "node")
 
@@ -256,47 +270,47 @@ def _rest(texts: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: flo
         return have - int(_least_overlap(n, similarity, width)[0]) + 1 + int(_extra(n, similarity, width)[0])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, times = common.value
+        times = known.value
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
                 node, label = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
-                words, all_, row = np.zeros(b.num_rows, np.int32), [], []
+                words, all_, row, side = np.zeros(b.num_rows, np.int32), [], [], []
                 with np.errstate(over="ignore"):
                     for k, t in enumerate(b.column("text").to_pylist()):
-                        x = _runs(encode(t), width)
-                        m = len(x) + width - 1
-                        if m < WORDS:
+                        w = words_of(encode(t))
+                        if len(w) < WORDS:
                             continue  # equal words only: all its sketches are equal
-                        words[k] = m
-                        first = first_runs(m, len(x))
-                        where = np.searchsorted(runs, x)
-                        where[where == len(runs)] = 0
-                        often = np.where(runs[where] == x, times[where], 0) if len(runs) else np.zeros(len(x), np.int64)
-                        order = np.lexsort((x, often))[:first]
-                        x, often = x[order], often[order]
-                        for j in np.flatnonzero(often > block_texts).tolist():
+                        x, plain = _runs(w, width)
+                        words[k] = len(w)
+                        often = times[(plain % np.uint64(len(times))).astype(np.int64)]
+                        order = np.lexsort((x, often))[: first_runs(len(w), len(x))]
+                        x, often = x[order], often[order] - usual
+                        heavy = often > block_texts
+                        for j in np.flatnonzero(heavy).tolist():
                             blocks = -(-int(often[j]) // block_texts)
                             mine = int(mix(np.array([node[k]]).view(np.uint64))[0] % np.uint64(blocks))
                             other = np.arange(blocks, dtype=np.uint64)
                             low, high = np.minimum(other, np.uint64(mine)), np.maximum(other, np.uint64(mine))
                             all_.append(mix(x[j] + (low * np.uint64(blocks) + high + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
                             row.append(np.full(blocks, k, np.uint16))
-                        x = x[often <= block_texts]
+                            side.append(np.where(low == high, 0, np.where(low == mine, 1, 2)).astype(np.uint8))
+                        x = x[~heavy]
                         all_.append(x)
                         row.append(np.full(len(x), k, np.uint16))
+                        side.append(np.zeros(len(x), np.uint8))
                 if not all_:
                     continue
-                x, row_ = np.concatenate(all_), np.concatenate(row)
+                x, row_, side_ = np.concatenate(all_), np.concatenate(row), np.concatenate(side)
                 part = (x % np.uint64(parts)).astype(np.int64)
                 order = np.lexsort((x >> np.uint64(32), part))
-                x, row_, part = (x[order] >> np.uint64(32)).astype(np.uint32), row_[order], part[order]
+                x, row_, part, side_ = (x[order] >> np.uint64(32)).astype(np.uint32), row_[order], part[order], side_[order]
                 cut_at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
                 out: tuple[list, list] = ([], [])
                 for lo, hi in zip(cut_at, cut_at[1:], strict=False):
                     used, mine = np.unique(row_[lo:hi], return_inverse=True)
                     out[0].append(int(part[lo]))
-                    out[1].append(pack(x=x[lo:hi], row=mine.astype(np.uint16), node=node[used], label=label[used], words=words[used]))
+                    out[1].append(pack(x=x[lo:hi], row=mine.astype(np.uint16), side=side_[lo:hi], node=node[used], label=label[used], words=words[used]))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["part", "block"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,12 +324,12 @@ def _rest(texts: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: flo
 
     dealt = held.select("node", "label", "text").mapInArrow(deal, "part int, block binary").repartition(parts, "part")
     met = dealt.mapInArrow(meet, "a long, b long, shared long, need long")
-    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
+    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b", "shared")
 
 
 def _meetings(blocks: list[bytes], similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
     """(a, b, runs shared, runs needed) of the pairs of different classes that share a run in these blocks, some at a time."""
-    cols: dict[str, list[np.ndarray]] = {k: [] for k in ("x", "row", "node", "label", "words")}
+    cols: dict[str, list[np.ndarray]] = {k: [] for k in ("x", "row", "side", "node", "label", "words")}
     base = 0
     for block in blocks:
         got = unpack(block)
@@ -323,13 +337,25 @@ def _meetings(blocks: list[bytes], similarity: float) -> Iterator[tuple[np.ndarr
         base += len(got["node"])
         for k, v in cols.items():
             v.append(got[k])
-    x, row, node, label, words = (np.concatenate(cols[k]) for k in cols)
+    x, row, side, node, label, words = (np.concatenate(cols[k]) for k in cols)
     order = np.argsort(x, kind="stable")
-    x, row = x[order], row[order]
+    x, row, side = x[order], row[order], side[order]
     first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     several = np.minimum.reduceat(label[row], first) != np.maximum.reduceat(label[row], first)
     keep = np.repeat(several, np.diff(np.concatenate([first, [len(x)]])))
-    x, row = x[keep], row[keep]
+    x, row, side = x[keep], row[keep], side[keep]
+    if not len(x):
+        return
+    # Texts of a class stand together in their group, so each meets just those of the classes after its own.
+    of = label[row]
+    order = np.lexsort((of, x))
+    x, row, side, of = x[order], row[order], side[order], of[order]
+    new_group = np.concatenate([x[1:] != x[:-1], [True]])
+    new_class = new_group | np.concatenate([of[1:] != of[:-1], [True]])
+    at = np.arange(len(x))
+    group_end = at[new_group][np.searchsorted(at[new_group], at)] + 1
+    class_end = at[new_class][np.searchsorted(at[new_class], at)] + 1
+    meets = group_end - class_end
     words = words.astype(np.int64)
     least, extra = words - ((1 - similarity) * words + 1e-9).astype(np.int64), _extra(words, similarity, _width(similarity))
 
@@ -338,18 +364,19 @@ def _meetings(blocks: list[bytes], similarity: float) -> Iterator[tuple[np.ndarr
         i, j = code // base, code % base
         return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), times, 1 + np.minimum(extra[i], extra[j])
 
-    at, step, codes, held = np.arange(len(x)), 0, [], 0
-    while len(at):
-        step += 1
-        at = at[at + step < len(x)]
-        at = at[x[at] == x[at + step]]
-        i, j = row[at], row[at + step]
+    total, codes, held, lo = np.cumsum(meets), [], 0, 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
+        n = meets[lo:hi]
+        mine = np.repeat(at[lo:hi], n)
+        other = class_end[mine] + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = row[mine], row[other]
         longer = np.where(words[i] >= words[j], i, j)
-        ok = (label[i] != label[j]) & (node[i] != node[j]) & (np.minimum(words[i], words[j]) >= least[longer])
-        i, j = i[ok], j[ok]
+        ok = (np.minimum(words[i], words[j]) >= least[longer]) & ((side[mine] == 0) | (side[mine] != side[other]))
+        i, j, lo = i[ok], j[ok], hi
         codes.append(np.minimum(i, j) * base + np.maximum(i, j))
         held += len(i)
-        if held > 4_000_000:
+        if held > PAIRS:
             yield flush(codes)
             codes, held = [], 0
     if held:
@@ -357,9 +384,12 @@ def _meetings(blocks: list[bytes], similarity: float) -> Iterator[tuple[np.ndarr
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that are near copies. Only texts that some pair names are moved."""
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = texts.join(named, "node")
+    """The pairs (a, b) that are near copies, kept. Only texts that some pair names are moved; they are a table, so that each join has plain exchanges, whose large partitions Spark splits."""
+    pairs = cut(pairs.select("a", "b"))
+    if pairs.isEmpty():
+        return pairs
+    named = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    wanted = cut(having(texts, named, "node"))
     both = pairs.join(wanted.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(wanted.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,35 +397,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             keep = [similar(encode(x.as_py()), encode(y.as_py()), similarity) for x, y in zip(b.column("ta"), b.column("tb"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    out = cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct())
+    drop(pairs, named, wanted)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node that links reach. Labels spread to neighbours and jump to their label's label; each step is kept in the shared folder."""
+    """(node, label): the least node that links reach. Labels spread to neighbours and jump to their label's label; each step is a table of its own, and the one before goes."""
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    step = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumn("was", F.col("node")))
     while True:
+        labels = step.select("node", "label")
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = labels.join(near, "node").select("node", F.least("label", "near").alias("least"), "label")
         jump = labels.select(F.col("node").alias("least"), F.col("label").alias("far"))
-        step = cut(least.join(jump, "least", "left").select("node", F.least("least", F.coalesce("far", "least")).alias("label"), F.col("label").alias("was")))
-        labels = step.select("node", "label")
+        last, step = step, cut(least.join(jump, "least", "left").select("node", F.least("least", F.coalesce("far", "least")).alias("label"), F.col("label").alias("was")))
+        drop(last)
         if step.filter("label <> was").isEmpty():
-            release(links.sparkSession)
-            return labels
-
-
-def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after more links: components of the labels that links join, which are few, then each node's label's label."""
-    if labels is None:
-        return components(links)
-    ends = labels.withColumnRenamed("label", "x")
-    between = links.join(ends.withColumnsRenamed({"node": "a", "x": "la"}), "a", "left").join(ends.withColumnsRenamed({"node": "b", "x": "lb"}), "b", "left")
-    between = between.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+            drop(both)
+            out = step.select("node", "label")
+            out._lamina_table = step._lamina_table
+            return out
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: components of the labels that links join, which are few, then each node's label's label. ``labels`` and ``links`` go."""
+    if links.isEmpty():
+        drop(links)
+        return labels
+    between = cut(_apart(links, labels, "a", "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
     merged = components(between)
     new = merged.join(labels.select("node"), "node", "left_anti")  # nodes without a label until now
     moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return cut(moved.unionByName(new))
+    out = cut(moved.unionByName(new))
+    drop(between, merged, labels, links)
+    release(out.sparkSession)
+    return out
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -404,43 +441,50 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     copy_of is the least doc_id with the same text, class_id the least doc_id of all texts that links join. Null texts count as
     empty; texts without words are joined only as exact copies, those of fewer than five words only if their words are equal.
     Rows that share a doc_id are one document: their texts share a class. Rows without a doc_id are left out. Very long texts
-    are compared whole. An empty table gives an empty table.
+    are compared whole. An empty table gives an empty table. Columns other than doc_id and text are not read, whatever their names.
     """
-    ship(docs.sparkSession)
+    spark = ship(docs.sparkSession)
     rows = _texts(docs).filter("doc_id is not null")
-    groups = cut(_sketched(rows).groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("node"), F.first("sketches").alias("sketches")))
-    nodes = groups.select("node", "sketches").filter(F.size("sketches") > 0)
+    bins = min(MOST_BINS, max(RANGES, 1 << (4 * max(1, docs.count()) - 1).bit_length()))
+    sketched = cut(_sketched(rows, bins, _width(similarity)))
+    frequency = _frequency(sketched, bins)
+    groups = cut(sketched.filter("counts is null").groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("node"), F.first("words").alias("words"), F.first("sketches").alias("sketches")))
+    drop(sketched)
+    nodes = groups.filter("words > 0")
     texts = rows.select(F.col("doc_id").alias("node"), "text")
-    members = cut(_members(nodes))
-    tried, labels = None, None
-    for round_ in range(MOST_ROUNDS):
-        pairs = _pairs(members, labels, round_)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(_verified(pairs, texts, similarity).distinct())
-        tried = pairs if tried is None else tried.union(pairs)
-        if round_ and found.isEmpty():
-            break
-        labels = joined(labels, found)
-        release(docs.sparkSession)
-    pairs = _rest(texts, nodes, labels, similarity)
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    labels = joined(labels, cut(_verified(pairs, texts, similarity).distinct()))
-    release(docs.sparkSession)
+    found = _candidates(nodes, similarity)
+    best = cut(found.groupBy("node").agg(F.max(F.struct("shared", (-F.col("rep")).alias("back"))).alias("best")).select("node", (-F.col("best.back")).alias("rep")))
+    links = _verified(best.select(F.col("node").alias("a"), F.col("rep").alias("b")), texts, similarity)
+    labels = components(links)
+    drop(links)
+    release(spark)
+    others = found.join(best.withColumnRenamed("rep", "tried"), "node").filter("rep <> tried").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    labels = joined(labels, _verified(_apart(others, labels, "a", "b"), texts, similarity))
+    drop(found, best)
+    # All other pairs that may be near copies: first the likeliest of each two classes, then what those left apart.
+    pairs = cut(_rest(texts, nodes, labels, frequency, similarity))
+    apart = _apart(pairs, labels, "a", "b")
+    top = apart.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max(F.struct("shared", "a", "b")).alias("top")).select("top.a", "top.b")
+    labels = joined(labels, _verified(top, texts, similarity))
+    labels = joined(labels, _verified(_apart(pairs, labels, "a", "b"), texts, similarity))
+    drop(pairs)
     named = rows.select("doc_id", *TEXT_KEY).join(groups.select(*TEXT_KEY, "node"), TEXT_KEY)
-    out = named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"), F.col("node").alias("copy_of"))
-    return out
+    return named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"), F.col("node").alias("copy_of"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, that of the least doc_id; rows without a doc_id stay. Rows that repeat a kept doc_id: the one of least text stays."""
-    classes = near_duplicates(docs, similarity)
+    """``docs`` with one document of each class, that of the least doc_id; all columns stay as they are, whatever their names.
+
+    Rows without a doc_id stay. Of rows that repeat a kept doc_id the one of least text stays. Null and empty texts are copies
+    of each other. An empty table gives an empty table.
+    """
+    classes = cut(near_duplicates(docs, similarity))
     gone = classes.filter("doc_id <> class_id").select("doc_id").distinct()
     again = classes.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return kept
+    rank = fresh(docs, "__k")[0]
     few = kept.join(again, "doc_id")
-    one = few.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__k = 1").select(*docs.columns)
+    one = few.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(rank) == 1).select(*docs.columns)
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)

@@ -117,7 +117,10 @@ def test_all_pairs_around_one_passage(spark, monkeypatch):
         return x if parent[x] == x else find(parent[x])
 
     monkeypatch.setattr(O, "BLOCK", 20)
-    monkeypatch.setattr(O, "MOST_ROUNDS", 1)  # most is left to the exact join
+    got = {r.doc_id: r.class_id for r in O.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: find(k) for k in range(len(rows))}
+    candidates = O._candidates
+    monkeypatch.setattr(O, "_candidates", lambda nodes, similarity: candidates(nodes, similarity).filter("shared > 99"))  # all is left to the exact join
     got = {r.doc_id: r.class_id for r in O.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: find(k) for k in range(len(rows))}
 
