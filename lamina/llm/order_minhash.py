@@ -2,12 +2,15 @@
 
 A sketch takes the k-mers of words of least hash, each labelled by its occurrence, and keeps their order in the text; texts
 that are near in edit distance share sketches. Texts that share one are candidates: in each bucket a text is compared with the
-bucket's first one, so the work is linear in the bucket. First each text meets the one that it shares most buckets with, then,
-where that left them in different classes, the others. A candidate is a near copy if a banded alignment of its words changes at
-most 1 - ``similarity`` of them. Exact copies are one text from the start.
-
-What the buckets leave is finished exactly: near copies must share so many runs of two words that the rarest runs of both meet
-(see ``_rest``), so all pairs of different classes are verified or ruled out. There is no limit on rounds or partners.
+bucket's first one, so the work is linear in the bucket: first that one which it shares most buckets with, then, where they are
+still of different classes, the others. A candidate is a near copy if a banded alignment of its words changes at most
+1 - ``similarity`` of them. Exact copies are one text from the start.
+
+What the buckets leave is finished exactly, in two ways. Texts that a chain of candidates joins whose alignments change at most
+twice as much form a neighbourhood; in it the shared runs of words of all texts of different classes are counted, in blocks, and
+those with enough of them are aligned (``_neighbours``). Between neighbourhoods, near copies must share so many runs of two
+words that the rarest runs of both meet (``_rest``). So all pairs of different classes are verified or ruled out, without a limit
+on rounds or partners.
 """
 
 from __future__ import annotations
@@ -22,17 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import byte_codes, cut, drop, encode, fresh, having, mix, pack, partitions, prefix_hashes, release, ship, span_hashes, unpack
+from lamina.llm.common import byte_codes, cut, drop, encode, fresh, having, mix, pack, prefix_hashes, release, ship, span_hashes, unpack
 
 WORDS, SIMILARITY = 5, 0.8
 #: Sketches of a text, and k-mers in a sketch.
 SKETCHES, DEPTH = 32, 2
 #: Of the exact join: a text shows len / EXTRA runs more than it must; texts a part; texts that share a run from which it is
 #: dealt into blocks; pairs that are counted at once.
-EXTRA, PART_TEXTS, BLOCK, PAIRS = 10, 16_384, 2_000, 4_000_000
+EXTRA, PART_TEXTS, BLOCK, PAIRS = 10, 8_192, 2_000, 4_000_000
 #: Counts of runs, by which runs are ordered from rare to common, are kept by hash in at most so many bins, four for each
 #: document. The order decides how much is compared, never the result.
 MOST_BINS, RANGES = 1 << 24, 64
+#: Of a neighbourhood: texts and words of a block, of which two are compared at once; runs that are counted at once.
+NEAR_TEXTS, NEAR_WORDS, COLUMNS = 400, 2_000_000, 4_096
 
 _CODES = byte_codes(3)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -87,26 +92,26 @@ def sketch(words: np.ndarray, sketches: int = SKETCHES, depth: int = DEPTH) -> n
 
 
 def banded_distance(a: list, b: list, most: int) -> int:
-    """Word edit distance if at most ``most``, else most + 1: bands are doubled until one holds the alignment."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    k = 0
+    """Word edit distance if at most ``most``, else most + 1: in a narrow band first, which soon fails or is enough, then in one that holds any such alignment."""
+    end = 0
+    while end < min(len(a), len(b)) and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b, k = a[: len(a) - end], b[: len(b) - end], 0
     while k < min(len(a), len(b)) and a[k] == b[k]:
         k += 1
     a, b = a[k:], b[k:]
     if not a or not b or abs(len(a) - len(b)) > most:
         return min(max(len(a), len(b)), most + 1)
-    band = max(16, abs(len(a) - len(b)))
-    while True:
+    for band in (max(16, abs(len(a) - len(b))), most):
         band = min(band, most)
         d = _band(a, b, band)
-        if d <= band or band >= most:
+        if d <= band or band == most:
             return min(d, most + 1)
-        band *= 2
+    return most + 1
 
 
 def _band(x: list, y: list, k: int) -> int:
-    """Distance along paths within k of the diagonal, exact if it is at most k; bit-parallel, a column of the band an integer.
+    """Distance along paths within k of the diagonal, exact if it is at most k, else k + 1; bit-parallel, a column of the band an integer.
 
     Bit b of column j stands for row j - k + b. Steps down a column are +1 (up), -1 (down) or 0; rows above the first hold the
     column's number, so their steps are 0, and the row below the band counts as one more than its neighbour. The end lies on a
@@ -129,23 +134,30 @@ def _band(x: list, y: list, k: int) -> int:
         left = zero & up
         if j > skip and not zero >> end & 1:
             distance += 1
+            if distance > k:  # it never falls again
+                return k + 1
         below = zero >> 1
         up = left | (mask ^ (below | right)) | low
         down = below & right & ~low
     return distance
 
 
-def similar(a: bytes, b: bytes, similarity: float = SIMILARITY, k: int = WORDS) -> bool:
-    """Whether two texts are near copies: edits of words, over the words of the longer, at most 1 - similarity."""
+def nearness(a: bytes, b: bytes, similarity: float = SIMILARITY, k: int = WORDS, loose: bool = True) -> int:
+    """2 for near copies: edits of words, over the words of the longer, at most 1 - similarity; 1 for up to twice as many, if asked for; else 0."""
     x, y = _WORD.findall(a), _WORD.findall(b)
     n, most = max(len(x), len(y)), int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-    if min(len(x), len(y)) < n - most:
-        return False
     if len(x) < k or len(y) < k:
-        return x == y
-    if (Counter(x) & Counter(y)).total() < n - most:  # words that no alignment can keep
-        return False
-    return banded_distance(x, y, most) <= most
+        return 2 if x == y else 0
+    top = 2 * most if loose else most
+    if min(len(x), len(y)) < n - top or (Counter(x) & Counter(y)).total() < n - top:  # words that no alignment can keep
+        return 0
+    d = banded_distance(x, y, top)
+    return 2 if d <= most else 1 if d <= top else 0
+
+
+def similar(a: bytes, b: bytes, similarity: float = SIMILARITY, k: int = WORDS) -> bool:
+    """Whether two texts are near copies."""
+    return nearness(a, b, similarity, k, loose=False) == 2
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -209,17 +221,22 @@ def _lengths_fit(a: str, b: str, similarity: float):
     return F.least(a, b) >= longer - F.floor(longer * (1 - similarity) + 1e-9)
 
 
-def _candidates(groups: DataFrame, similarity: float) -> DataFrame:
-    """(node, rep, shared): the first text of each bucket that a text is in, and in how many of its buckets that is the first."""
+def _members(groups: DataFrame) -> DataFrame:
+    """(bucket, node, words, rep, rep_words): the texts of each bucket that several share, with its first text; kept."""
     members = groups.select("node", "words", F.explode("sketches").alias("bucket"))
     first = members.groupBy("bucket").agg(F.min(F.struct("node", "words")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = cut(first.select("bucket", F.col("first.node").alias("rep"), F.col("first.words").alias("rep_words")))
-    met = members.join(first, "bucket").filter((F.col("node") != F.col("rep")) & _lengths_fit("words", "rep_words", similarity))
-    out = cut(met.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("shared")))
+    out = cut(members.join(first, "bucket"))
     drop(first)
     return out
 
 
+def _candidates(members: DataFrame, similarity: float) -> DataFrame:
+    """(node, rep, shared): the first text of each bucket that a text is in, and in how many of its buckets that is the first; kept."""
+    met = members.filter((F.col("node") != F.col("rep")) & _lengths_fit("words", "rep_words", similarity))
+    return cut(met.groupBy("node", "rep").agg(F.count(F.lit(1)).alias("shared")))
+
+
 def _apart(pairs: DataFrame, labels: DataFrame, a: str, b: str) -> DataFrame:
     """The pairs whose ends are of different classes, with those as la and lb."""
     ends = labels.withColumnRenamed("label", "x")
@@ -250,16 +267,104 @@ def _runs(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return labelled(h), h
 
 
+def _neighbours(texts: DataFrame, nodes: DataFrame, labels: DataFrame, hubs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different classes of a neighbourhood that join all of its texts that are near copies; kept.
+
+    A neighbourhood is dealt into blocks by a hash of the text's node, and each pair of blocks is one group; what is held of it
+    is bounded by NEAR_TEXTS and NEAR_WORDS. Shared runs of all its pairs are counted by a product of matrices; those with enough
+    of them are aligned, unless links of the group join them already. Only links come out.
+    """
+    width = _width(similarity)
+    named = nodes.select("node", "words").join(hubs.withColumnRenamed("label", "hub"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("words").alias("w")).filter("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("n") / NEAR_TEXTS), F.ceil(F.col("w") / NEAR_WORDS)).cast("int")
+    several = cut(several.select("hub", blocks.alias("blocks")))
+    named = cut(named.join(several, "hub").filter(F.col("words") >= WORDS).select("node", "hub", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            with np.errstate(over="ignore"):
+                got = [words_of(encode(t)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(got, pa.binary())], names=["node", "words"])
+
+    held = having(texts, named.select("node").distinct(), "node").select("node", "text").mapInArrow(hashed, "node long, words binary").join(named, "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = held.select("hub", "node", "label", "words", "mine", other).select("hub", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "label", "words")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, label, mine = (table[c].to_numpy() for c in ("node", "label", "mine"))
+        words = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["words"]]
+        return pa.table(dict(zip(("a", "b"), _links(node, label, mine, words, similarity, width), strict=True)))
+
+    out = cut(dealt.groupBy("hub", "lo", "hi").applyInArrow(compare, "a long, b long"))
+    drop(several, named)
+    return out
+
+
+def _links(node: np.ndarray, label: np.ndarray, block: np.ndarray, words: list[np.ndarray], similarity: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the texts of one block or of two that join all near copies of different classes; texts are hashes of words."""
+    size = np.array([len(w) for w in words])
+    kinds, cls, counts = np.unique(label, return_inverse=True, return_counts=True)
+    if block.min() == block.max():  # all but the largest class with all
+        rows, cols = np.flatnonzero(cls != counts.argmax()), np.arange(len(node))
+    else:
+        rows, cols = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    with np.errstate(over="ignore"):
+        sets = [_runs(w, width)[0] for w in words]
+    owner = np.repeat(np.arange(len(node)), [len(x) for x in sets])
+    _, run, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # of the runs that several have
+    several = times[run] > 1
+    run, owner = number[run[several]], owner[several]
+    order = np.argsort(run, kind="stable")
+    run, owner = run[order], owner[order]
+    shared = np.zeros((len(rows), len(cols)), np.float32)
+    for at in range(0, int(run[-1]) + 1 if len(run) else 0, COLUMNS):
+        lo, hi = np.searchsorted(run, (at, at + COLUMNS))
+        have = np.zeros((len(node), COLUMNS), np.float32)
+        have[owner[lo:hi], run[lo:hi] - at] = 1
+        shared += have[rows] @ have[cols].T
+    longer = np.maximum(size[rows][:, None], size[cols][None, :])
+    most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    enough = (shared >= longer - (width - 1) - width * most) & (np.minimum(size[rows][:, None], size[cols][None, :]) >= longer - most) & (cls[rows][:, None] != cls[cols][None, :])
+    i, j = np.nonzero(enough)
+    order = np.argsort(-shared[i, j] / longer[i, j], kind="stable")  # the likeliest first
+    parent, ids = list(range(len(kinds))), {}
+    out: tuple[list[int], list[int]] = ([], [])
+
+    def top(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    for x, y in zip(rows[i[order]].tolist(), cols[j[order]].tolist(), strict=True):
+        a, b = top(int(cls[x])), top(int(cls[y]))
+        if a == b:
+            continue
+        for t in (x, y):
+            if t not in ids:
+                w = words[t].tolist()
+                ids[t] = (w, Counter(w))
+        (p, pc), (q, qc) = ids[x], ids[y]
+        n = max(len(p), len(q))
+        allowed = int((1 - similarity) * n + 1e-9)
+        if (pc & qc).total() >= n - allowed and banded_distance(p, q, allowed) <= allowed:
+            parent[max(a, b)] = min(a, b)
+            out[0].append(int(node[x]))
+            out[1].append(int(node[y]))
+    return np.array(out[0], np.int64), np.array(out[1], np.int64)
+
+
 def _rest(texts: DataFrame, nodes: DataFrame, labels: DataFrame, frequency: np.ndarray, similarity: float) -> DataFrame:
-    """All pairs (a, b, shared) of different classes that may be near copies, by an exact join on rare runs of words.
+    """All pairs (a, b, shared) of different ``labels`` (neighbourhoods) that may be near copies, by an exact join on rare runs of words.
 
     An edit breaks at most ``width`` runs, so near copies share at least T of theirs. In any one order of all runs, here from rare to
     common, the first len - T + 1 + e runs of both then have 1 + e in common. Pairs that have fewer, whose lengths differ too
-    much, or that are of one class are ruled out; the others are returned. Runs that very many texts share are dealt into blocks,
+    much, or that are of one neighbourhood are left out; the others are returned. Runs that very many texts share are dealt into blocks,
     and each pair of blocks meets.
     """
     spark, n, width, block_texts = texts.sparkSession, nodes.count(), _width(similarity), BLOCK
-    parts = max(partitions(spark), -(-n // PART_TEXTS))
+    parts = max(1, -(-n // PART_TEXTS))  # few: a pair is counted once in each part where its runs lie
     usual = int(frequency.mean()) if len(frequency) else 0
     known = spark.sparkContext.broadcast(frequency)  # MOST_BINS numbers
     held = nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
@@ -383,25 +488,43 @@ def _meetings(blocks: list[bytes], similarity: float) -> Iterator[tuple[np.ndarr
         yield flush(codes)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are near copies, kept. Only texts that some pair names are moved; they are a table, so that each join has plain exchanges, whose large partitions Spark splits."""
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, loose: bool = False) -> DataFrame:
+    """The pairs (a, b, near) that are near copies, with ``loose`` also those of up to twice as many edits, not near; kept.
+
+    Only texts that some pair names are moved; they are a table, so that each join has plain exchanges, whose large partitions Spark splits.
+    """
     pairs = cut(pairs.select("a", "b"))
     if pairs.isEmpty():
-        return pairs
+        out = cut(pairs.withColumn("near", F.lit(True)))
+        drop(pairs)
+        return out
     named = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     wanted = cut(having(texts, named, "node"))
     both = pairs.join(wanted.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(wanted.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [similar(encode(x.as_py()), encode(y.as_py()), similarity) for x, y in zip(b.column("ta"), b.column("tb"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            got = np.array([nearness(encode(x.as_py()), encode(y.as_py()), similarity, loose=loose) for x, y in zip(b.column("ta"), b.column("tb"), strict=True)], np.int8)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(got == 2)], names=["a", "b", "near"]).filter(pa.array(got > 0))
 
-    out = cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct())
+    out = cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, near boolean").distinct())
     drop(pairs, named, wanted)
     return out
 
 
+def _settled(pairs: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Labels after all ``pairs`` (a, b, shared): first the likeliest of each two classes, then what those left apart. ``pairs`` and ``labels`` go."""
+    if pairs.isEmpty():
+        drop(pairs)
+        return labels
+    apart = _apart(pairs, labels, "a", "b")
+    top = apart.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max(F.struct("shared", "a", "b")).alias("top")).select("top.a", "top.b")
+    labels = joined(labels, _verified(top, texts, similarity))
+    labels = joined(labels, _verified(_apart(pairs, labels, "a", "b"), texts, similarity))
+    drop(pairs)
+    return labels
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that links reach. Labels spread to neighbours and jump to their label's label; each step is a table of its own, and the one before goes."""
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -420,17 +543,17 @@ def components(links: DataFrame) -> DataFrame:
             return out
 
 
-def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after more links: components of the labels that links join, which are few, then each node's label's label. ``labels`` and ``links`` go."""
+def joined(labels: DataFrame, links: DataFrame, keep: bool = False) -> DataFrame:
+    """Labels after more links: components of the labels that links join, which are few, then each node's label's label. ``labels`` go, and ``links`` unless to ``keep``."""
     if links.isEmpty():
-        drop(links)
+        drop(None if keep else links)
         return labels
     between = cut(_apart(links, labels, "a", "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
     merged = components(between)
     new = merged.join(labels.select("node"), "node", "left_anti")  # nodes without a label until now
     moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     out = cut(moved.unionByName(new))
-    drop(between, merged, labels, links)
+    drop(between, merged, labels, None if keep else links)
     release(out.sparkSession)
     return out
 
@@ -452,22 +575,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     drop(sketched)
     nodes = groups.filter("words > 0")
     texts = rows.select(F.col("doc_id").alias("node"), "text")
-    found = _candidates(nodes, similarity)
+    members = _members(nodes)
+    found = _candidates(members, similarity)
     best = cut(found.groupBy("node").agg(F.max(F.struct("shared", (-F.col("rep")).alias("back"))).alias("best")).select("node", (-F.col("best.back")).alias("rep")))
-    links = _verified(best.select(F.col("node").alias("a"), F.col("rep").alias("b")), texts, similarity)
-    labels = components(links)
-    drop(links)
-    release(spark)
+    one = _verified(best.select(F.col("node").alias("a"), F.col("rep").alias("b")), texts, similarity, loose=True)
+    labels = components(one.filter("near"))
     others = found.join(best.withColumnRenamed("rep", "tried"), "node").filter("rep <> tried").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    labels = joined(labels, _verified(_apart(others, labels, "a", "b"), texts, similarity))
-    drop(found, best)
-    # All other pairs that may be near copies: first the likeliest of each two classes, then what those left apart.
-    pairs = cut(_rest(texts, nodes, labels, frequency, similarity))
-    apart = _apart(pairs, labels, "a", "b")
-    top = apart.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max(F.struct("shared", "a", "b")).alias("top")).select("top.a", "top.b")
-    labels = joined(labels, _verified(top, texts, similarity))
-    labels = joined(labels, _verified(_apart(pairs, labels, "a", "b"), texts, similarity))
-    drop(pairs)
+    two = _verified(_apart(others, labels, "a", "b"), texts, similarity, loose=True)
+    drop(found, best, members)
+    labels = joined(labels, two.filter("near"), keep=True)
+    hubs = components(one.unionByName(two))
+    drop(one, two)
+    release(spark)
+    labels = joined(labels, _neighbours(texts, nodes, labels, hubs, similarity))
+    labels = _settled(cut(_rest(texts, nodes, hubs, frequency, similarity)), labels, texts, similarity)
+    drop(hubs)
     named = rows.select("doc_id", *TEXT_KEY).join(groups.select(*TEXT_KEY, "node"), TEXT_KEY)
     return named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"), F.col("node").alias("copy_of"))
 

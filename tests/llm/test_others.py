@@ -119,8 +119,8 @@ def test_all_pairs_around_one_passage(spark, monkeypatch):
     monkeypatch.setattr(O, "BLOCK", 20)
     got = {r.doc_id: r.class_id for r in O.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: find(k) for k in range(len(rows))}
-    candidates = O._candidates
-    monkeypatch.setattr(O, "_candidates", lambda nodes, similarity: candidates(nodes, similarity).filter("shared > 99"))  # all is left to the exact join
+    members = O._members
+    monkeypatch.setattr(O, "_members", lambda groups: members(groups).filter("bucket is null"))  # all is left to the exact join
     got = {r.doc_id: r.class_id for r in O.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: find(k) for k in range(len(rows))}
 
