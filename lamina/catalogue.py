@@ -6,6 +6,7 @@ are called as such.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ from lamina.operators import compaction as K
 from lamina.operators import partitions as P
 from lamina.operators import reconcile as R
 from lamina.schema import table
-from lamina.sources import stats
+from lamina.sources import readers, sinks, stats
+from lamina.streaming import tail
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "embeddings")
 KEYS = {"events": (["user_id"], [("ts", "DESC"), "event_id"]), "orders": (["o_custkey"], [("o_orderdate", "DESC"), "o_orderkey"]), "conversations": (["conv_id"], ["turn"]), "customer": (["c_custkey"], [])}
@@ -149,6 +151,7 @@ _PAIRS: dict[str, tuple[str, str]] = {
     "vector_cosine": ("SELECT a.vec_id, ROUND(cosine_similarity(a.embedding, b.embedding), 5) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = 0", "SELECT a.vec_id, ROUND(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = 0"),
     "vector_euclid": ("SELECT a.vec_id, ROUND(euclidean_distance(a.embedding, b.embedding), 5) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = 0", "SELECT a.vec_id, ROUND(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = 0"),
     "select_json": ("SELECT JSON n_nationkey, n_name FROM nation", """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS "[json]" FROM nation"""),
+    "select_json_distinct": ("SELECT JSON DISTINCT n_regionkey FROM nation", """SELECT DISTINCT '{"n_regionkey":' || n_regionkey || '}' AS "[json]" FROM nation"""),
     "mask": ("SELECT c_custkey, mask_inner(c_name, 2, 3) AS m, mask_default(c_mktsegment) AS d FROM customer", "SELECT c_custkey, c_name[1:2] || repeat('*', length(c_name) - 5) || right(c_name, 3) AS m, regexp_replace(regexp_replace(regexp_replace(c_mktsegment, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') AS d FROM customer"),
     "blob_text": ("SELECT n_nationkey, blobastext(textasblob(n_name)) AS t FROM nation", "SELECT n_nationkey, n_name AS t FROM nation"),
     "timeuuid_date": ("SELECT n_nationkey, tounixtimestamp(dateof('13814000-1dd2-11b2-8080-808080808080')) AS t FROM nation", "SELECT n_nationkey, 0::BIGINT AS t FROM nation"),
@@ -307,6 +310,125 @@ def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.execute("SELECT region, id, name, score FROM people")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder where executors and driver can both write."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/lamina-catalogue-{uuid.uuid4().hex}"
+
+
+def _orders_table(spark: SparkSession, sf_dir: str, path: str | None) -> Engine:
+    """Orders as a stored table, by customer and order."""
+    e = Engine(spark, now=NOW)
+    e.create_table(table("main", "kept", {"cust": "bigint", "id": "bigint", "state": "text", "price": "double"}, ["cust"], ["id"]), path)
+    o = read(spark, sf_dir, "orders")
+    e.insert_frame("kept", o.select(F.col("o_custkey").cast("long").alias("cust"), F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderstatus").alias("state"), F.col("o_totalprice").cast("double").alias("price")), write_time=10)
+    return e
+
+
+def stored_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sessions write to one folder, a third one reads: nothing is lost."""
+    path = _folder(spark)
+    _orders_table(spark, sf_dir, path)
+    two = Engine(spark, now=NOW).open_table(path)
+    two.execute("INSERT INTO kept (cust, id, state) VALUES (-1, -1, 'new') USING TIMESTAMP 20")
+    return Engine(spark, now=NOW).open_table(path).execute("SELECT cust, id, state, price FROM kept")
+
+
+def stored_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest writes that have expired, and writes of equal times, read alike after compaction: old values don't come back."""
+    e = _orders_table(spark, sf_dir, _folder(spark))
+    o = e.execute("SELECT cust, id FROM kept")
+    e.insert_frame("kept", o.filter("id % 3 = 0").withColumn("state", F.lit("gone")), write_time=20, ttl_seconds=1)
+    e.insert_frame("kept", o.filter("id % 3 = 1").withColumn("state", F.lit("later")), write_time=10)
+    e.fixed_now = NOW + 5_000_000
+    e.compact("kept")
+    e.compact("kept")
+    return e.execute("SELECT cust, id, state, price FROM kept")
+
+
+def stored_range_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delete by clustering range also hides older writes that arrive after it, and after compaction."""
+    e = _orders_table(spark, sf_dir, _folder(spark))
+    e.execute("DELETE FROM kept USING TIMESTAMP 1704067199000000 WHERE cust = 7 AND id > 0 AND id <= 100000")
+    e.execute("INSERT INTO kept (cust, id, state) VALUES (7, 50, 'old') USING TIMESTAMP 15")
+    e.execute("INSERT INTO kept (cust, id, state) VALUES (7, 51, 'new') USING TIMESTAMP 1704067199500000")
+    e.compact("kept")
+    e.execute("INSERT INTO kept (cust, id, state) VALUES (7, 52, 'old') USING TIMESTAMP 16")
+    return e.execute("SELECT cust, id, state, price FROM kept")
+
+
+def stored_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of all rows of a partition, by values that rows hold, and of the table's columns."""
+    e = _orders_table(spark, sf_dir, None)
+    e.execute("UPDATE kept USING TIMESTAMP 20 SET price = price * 2 WHERE cust = 7 AND id > 0")
+    e.execute("DELETE FROM kept USING TIMESTAMP 30 WHERE cust = 8 AND id > 0 IF state = 'F'")
+    e.execute("ALTER TABLE kept ADD note text")
+    e.execute("ALTER TABLE kept DROP note")
+    return e.execute("SELECT cust, id, state, price FROM kept")
+
+
+def _round_trip(format: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+        path = f"{_folder(spark)}.{format}"
+        sinks.export(df, path, format)
+        return readers.read(spark, path, schema=df.schema, format=format)
+
+    return run
+
+
+def insert_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    sinks.to_sql(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path, "nation")
+    return spark.read.text(path)
+
+
+def import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file into a stored table, with the table's types."""
+    path = f"{_folder(spark)}.csv"
+    sinks.export(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), path, "csv")
+    e = Engine(spark, now=NOW)
+    e.execute("CREATE TABLE lands (id bigint PRIMARY KEY, name text)")
+    e.import_file("lands", path)
+    return e.execute("SELECT id, name FROM lands")
+
+
+def insert_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, now=NOW)
+    e.execute("CREATE TABLE j (id int PRIMARY KEY, name text, tags set<text>)")
+    e.execute("""INSERT INTO j JSON '{"id": 1, "name": "a", "tags": ["x"]}'""")
+    e.execute("BEGIN BATCH INSERT INTO j (id, name) VALUES (2, 'b'); UPDATE j SET name = 'c' WHERE id = 1; APPLY BATCH")
+    e.execute("INSERT INTO j (id, name) VALUES (2, 'z') IF NOT EXISTS")
+    return e.execute("SELECT id, name FROM j")
+
+
+def merge_map_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = versions(spark, sf_dir).withColumns({"tags": F.create_map(F.lit("a"), F.col("event_id"), F.lit("b"), F.col("event_id") + 1), "gone": F.when(F.col("event_id") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))})
+    return R.merge_collections(v, ["k"], NOW, "tags", "gone", is_map=True).select("k", "event_id", F.size("tags").alias("n"), F.array_min(F.map_values("tags")).alias("least"))
+
+
+def streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions as a stream in two arrivals, merged into the latest state."""
+    folder, v = _folder(spark), versions(spark, sf_dir).drop("generation")
+    for k in range(2):
+        v.filter(F.col("event_id") % 2 == k).write.mode("append").parquet(f"{folder}/in")
+        tail.upsert(tail.read_generations(spark, f"{folder}/in", v.schema), ["k"], f"{folder}/state", f"{folder}/checkpoint", now=NOW).awaitTermination()
+    return tail.latest(spark, f"{folder}/state").select("k", "write_time")
+
+
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows over events as a stream."""
+    folder, e = _folder(spark), read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    e.write.parquet(f"{folder}/in")
+    out = tail.windowed(tail.read_generations(spark, f"{folder}/in", e.schema), "ts", "1 day", ["event_type"], late="3650 days")
+    name = f"w{uuid.uuid4().hex}"
+    out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+_KEPT = "SELECT o_custkey::BIGINT AS cust, o_orderkey::BIGINT AS id, o_orderstatus AS state, o_totalprice::DOUBLE AS price FROM orders"
+
+
 _OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "merge_lww": (merge_lww, f"WITH {_VERSIONS}, c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY generation DESC, write_time DESC, event_id) AS rn FROM v WHERE NOT tombstone) SELECT k, event_id, value FROM c WHERE rn = 1"),
     "merge_tombstones": (merge_tombstones, f"WITH {_VERSIONS}, {_MERGED.format(now=NOW, source='v', key='k')} SELECT k, event_id, value FROM c WHERE rn = 1 AND NOT tombstone AND {_ALIVE.format(now=NOW)}"),
@@ -354,6 +476,25 @@ _OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "multi_generation_union": (multi_generation_union, "SELECT event_id, user_id, value, 1 AS generation FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, user_id, NULL, 2 FROM events WHERE event_id % 2 = 1"),
     "multi_file_count": (multi_file_count, "SELECT ((SELECT COUNT(*) FROM orders) + (SELECT COUNT(*) FROM customer) + (SELECT COUNT(*) FROM part))::BIGINT AS n"),
     "token_ranges": (token_ranges, "SELECT event_id FROM events"),
+    "stored_reopened": (stored_reopened, f"{_KEPT} UNION ALL SELECT -1, -1, 'new', NULL"),
+    "stored_compacted": (stored_compacted, f"SELECT cust, id, CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'later' ELSE state END AS state, price FROM ({_KEPT})"),
+    "stored_range_delete": (stored_range_delete, f"SELECT * FROM ({_KEPT}) WHERE NOT (cust = 7 AND id > 0 AND id <= 100000) UNION ALL SELECT 7, 51, 'new', NULL"),
+    "stored_update": (stored_update, f"SELECT cust, id, state, CASE WHEN cust = 7 THEN price * 2 ELSE price END AS price FROM ({_KEPT}) WHERE NOT (cust = 8 AND state = 'F')"),
+    **{f"export_{f}": (_round_trip(f), "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer") for f in ("csv", "json", "parquet", "orc")},
+    "export_insert": (insert_export, "SELECT 'INSERT INTO nation (n_nationkey, n_name) VALUES (' || n_nationkey || ', ''' || n_name || ''');' AS value FROM nation"),
+    "import_csv": (import_csv, "SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation"),
+    "insert_json_batch": (insert_json, "SELECT 1 AS id, 'c' AS name UNION ALL SELECT 2, 'b'"),
+    "merge_map_collections": (
+        merge_map_collections,
+        f"""WITH {_VERSIONS}, c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY {_AT} DESC, tombstone DESC, generation DESC) AS rn FROM v)
+        SELECT k, event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS n, CASE WHEN event_id % 2 = 0 THEN event_id + 1 ELSE event_id END AS least FROM c WHERE rn = 1 AND NOT tombstone AND {_ALIVE.format(now=NOW)}""",
+    ),
+    "streamed_upsert": (
+        streamed_upsert,
+        f"""WITH {_VERSIONS}, c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY {_AT} DESC, tombstone DESC) AS rn FROM v WHERE NOT tombstone OR ttl IS NULL OR {NOW} <= deletion_time + ttl)
+        SELECT k, write_time FROM c WHERE rn = 1 AND NOT tombstone AND {_ALIVE.format(now=NOW)}""",
+    ),
+    "streamed_windows": (streamed_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS n FROM events GROUP BY ALL"),
     "stored_table": (stored_table, "SELECT n_regionkey AS region, n_nationkey::BIGINT AS id, n_name AS name, CASE WHEN n_nationkey = 1 AND n_regionkey = 1 THEN 2.5 ELSE 1.0 END::DOUBLE AS score FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 2, 900, 'new', NULL"),
 }
 

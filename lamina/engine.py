@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import statistics
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -214,21 +216,20 @@ class Engine:
         t = self.catalog.stored(s.table)
         known = self.catalog.registry.names(t.spec.keyspace)
         if s.action == "add":
-            t.spec = t.spec.altered(add=[S.Column(c, L.parse_type(k, known)) for c, k in s.columns])
+            t.altered(t.spec.altered(add=[S.Column(c, L.parse_type(k, known)) for c, k in s.columns]))
         elif s.action == "drop":
-            t.spec = t.spec.altered(drop=[c for c, _ in s.columns])
-            t.generations = {g: df.drop(*[c for c, _ in s.columns]) for g, df in t.generations.items()}
+            t.altered(t.spec.altered(drop=[c for c, _ in s.columns]), lambda df: df.drop(*[c for c, _ in s.columns]))
         elif s.action == "rename":
-            t.spec = t.spec.altered(rename=dict(s.columns))
-            t.generations = {g: df.withColumnsRenamed(dict(s.columns)) for g, df in t.generations.items()}
+            t.altered(t.spec.altered(rename=dict(s.columns)), lambda df: df.withColumnsRenamed(dict(s.columns)))
         elif s.action == "retype":
-            t.spec = t.spec.altered(retype={c: L.parse_type(k, known) for c, k in s.columns})
+            t.altered(t.spec.altered(retype={c: L.parse_type(k, known) for c, k in s.columns}))
         else:
             t.spec.options.update(dict(s.columns))
+            t.compaction = t.spec.options.get("compaction", t.compaction)
         return self._done()
 
     def _truncate(self, s: N.Truncate) -> DataFrame:
-        self.catalog.stored(s.table).generations.clear()
+        self.catalog.stored(s.table).replace_all({})
         return self._done()
 
     def _describe(self, s: N.Describe) -> DataFrame:
@@ -320,7 +321,7 @@ class Engine:
             if k not in names:
                 raise QueryProblem(f"no value for key column {k}")
         rows = self._fixed(rows)
-        if any(r[k] is None for r in rows.limit(1000).collect() for k in t.spec.partition_key):
+        if not rows.filter(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in t.spec.partition_key])).isEmpty():
             raise QueryProblem("a partition key can't be null")
         if s.if_not_exists:
             have = t.scan(self.now).select(*t.spec.key)
@@ -333,9 +334,16 @@ class Engine:
         return self._done()
 
     def _fixed(self, df: DataFrame) -> DataFrame:
-        """A few rows of a statement as values, so that no later change of a table changes them."""
+        """Rows that a statement spells out, as values."""
         return self.spark.createDataFrame(df.collect(), df.schema)
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """Rows that a statement finds in a table, as a file in the folder that executors share: any number of them, and no later change of a table changes them."""
+        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{base}/lamina-rows-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def insert_frame(self, table: str, df: DataFrame, write_time: int | None = None, ttl_seconds: int | None = None) -> DataFrame:
         """All rows of a DataFrame as one generation: how much data is loaded."""
         t = self.catalog.stored(table)
@@ -346,8 +354,8 @@ class Engine:
         t.append(df.withColumns({"__wt": F.lit(wt), "__expires": F.lit(self.now + ttl_seconds * 1_000_000 if ttl_seconds else None).cast("long"), "__set": F.array(*[F.lit(m) for m in marks]), "__kind": F.lit("upsert")}))
         return self._done()
 
-    def _targets(self, t: Stored, where: N.Node, full: bool) -> DataFrame:
-        """The keys that a condition names: from its values alone if it fixes the whole key, else those of rows that are there."""
+    def _targets(self, t: Stored, where: N.Node, full: bool) -> tuple[DataFrame, bool]:
+        """The keys that a condition names, and whether its values alone give them; else they are those of rows that are there."""
         fixed = equalities(where)
         key = t.spec.key if full else t.spec.partition_key
         named = {n.parts[-1].lower() for n in N.walk(where) if isinstance(n, N.Name)}
@@ -357,12 +365,12 @@ class Engine:
             for k in key:
                 vals = self.spark.range(1).select(F.explode(F.array(*[self._typed(v, fields[k]) for v in fixed[k.lower()]])).alias(k))
                 rows = rows.crossJoin(vals)
-            return self._fixed(rows)
+            return self._fixed(rows), True
         if not all(k.lower() in fixed for k in t.spec.partition_key):
             raise QueryProblem("the condition must fix the partition key")
         now = self.now
         low = Lowering(self.spark, lambda n: self.catalog.find(n, now), now, False)
-        return low._filter(t.scan(now), where).select(*t.spec.key)
+        return low._filter(t.scan(now), where).select(*t.spec.key), False
 
     def _update(self, s: N.Update, outer: N.Using = N.Using()) -> DataFrame:
         t = self.catalog.stored(s.table)
@@ -372,7 +380,7 @@ class Engine:
             if spec.column(a.column).role in ("partition", "clustering"):
                 raise QueryProblem(f"key column {a.column} can't be set")
         static_only = all(spec.column(a.column).role == "static" for a in s.assigns)
-        keys = self._targets(t, s.where, full=not static_only)
+        keys, literal = self._targets(t, s.where, full=not static_only)
         key = list(spec.partition_key if static_only else spec.key)
         current = t.scan(now) if not static_only else t.scan(now).dropDuplicates(key)
         reads = s.condition is not None or s.if_exists or any(a.op != "=" or any(isinstance(n, N.Name) for n in N.walk(a.value)) for a in s.assigns)
@@ -388,7 +396,7 @@ class Engine:
             f = fields[a.column.lower()]
             v = self._typed(a.value, f) if not any(isinstance(n, N.Name) for n in N.walk(a.value)) and a.op == "=" else None
             out.append((v if v is not None else self._assigned(a, f, spec, rows)).cast(f.dataType).alias(f.name))
-        rows = self._fixed(rows.select(*out))
+        rows = self._kept(rows.select(*out)) if reads or not literal else self._fixed(rows.select(*out))
         if rows.isEmpty():
             return self._done(False)
         wt, expires = self._stamp(s.using, outer)
@@ -437,23 +445,65 @@ class Engine:
                     raise QueryProblem(f"key column {c} can't be deleted")
             sets = tuple(N.Assign(c, "=", N.Lit(None)) for c in s.columns)
             return self._update(N.Update(s.table, sets, s.where, N.Using(None, N.Lit(wt)), s.condition, s.if_exists))
-        if only_partition and s.condition is None and not s.if_exists:
-            keys, kind = self._targets(t, s.where, full=False), "wipe"
+        plain = s.condition is None and not s.if_exists
+        bounds = self._bounds(t, s.where) if plain and not only_partition else None
+        if only_partition and plain:
+            (keys, literal), kind = self._targets(t, s.where, full=False), "wipe"
+        elif bounds is not None:
+            keys, kind, literal = bounds, "range", True
         else:
-            keys, kind = self._targets(t, s.where, full=True), "delete"
-            if s.condition is not None or s.if_exists:
+            (keys, literal), kind = self._targets(t, s.where, full=True), "delete"
+            if not plain:
                 rows = keys.join(t.scan(self.now), list(spec.key))
-                keys = (rows.filter(self._lowering().expr(s.condition, rows)) if s.condition is not None else rows).select(*spec.key)
-        keys = keys if kind == "wipe" else self._fixed(keys)
+                keys, literal = (rows.filter(self._lowering().expr(s.condition, rows)) if s.condition is not None else rows).select(*spec.key), False
+        keys = keys if literal else self._kept(keys)
         if keys.isEmpty():
-            return self._done(not (s.condition is not None or s.if_exists))
+            return self._done(plain)
+        t.ranges = t.ranges or kind == "range"
         t.append(keys.withColumns({"__wt": F.lit(wt), "__expires": F.lit(None).cast("long"), "__set": F.array().cast("array<string>"), "__kind": F.lit(kind)}))
         return self._done()
 
+    def _bounds(self, t: Stored, where: N.Node) -> DataFrame | None:
+        """The partitions and the interval of each clustering column that a condition names, if it is made of comparisons of key columns with values; else None, also where it fixes the whole key."""
+        spec, fields = t.spec, {f.name.lower(): f for f in t.schema}
+        names, found = {c.lower(): c for c in spec.clustering_key}, {}
+        fixed = equalities(where)
+        if not spec.clustering_key or all(k.lower() in fixed for k in spec.key) or not all(k.lower() in fixed for k in spec.partition_key):
+            return None
+        for c in conjuncts(where):
+            of = c.a if isinstance(c, N.Binary) else c.x if isinstance(c, N.Between | N.In) else None
+            if not isinstance(of, N.Name) or any(isinstance(n, N.Name) for n in N.walk(c) if n is not of):
+                return None
+            low = of.parts[-1].lower()
+            if low in {k.lower() for k in spec.partition_key}:
+                continue
+            if low not in names:
+                return None
+            mine = found.setdefault(names[low], {})
+            if isinstance(c, N.Between) and not c.negated:
+                new = {"lo": (c.lo, True), "hi": (c.hi, True)}
+            elif isinstance(c, N.Binary) and c.op in ("=", "<", "<=", ">", ">="):
+                new = ({"lo": (c.b, c.op != ">")} if c.op in ("=", ">", ">=") else {}) | ({"hi": (c.b, c.op != "<")} if c.op in ("=", "<", "<=") else {})
+            else:
+                return None
+            if set(new) & set(mine):
+                return None
+            mine |= new
+        rows = self.spark.range(1).select()
+        for k in spec.partition_key:
+            rows = rows.crossJoin(self.spark.range(1).select(F.explode(F.array(*[self._typed(v, fields[k.lower()]) for v in fixed[k.lower()]])).alias(k)))
+        kinds = {f.name: f.dataType for f in t.schema}
+
+        def end(c: str, side: str) -> list:
+            x, closed = found.get(c, {}).get(side, (None, None))
+            return [(self._typed(x, fields[c.lower()]) if x is not None else F.lit(None).cast(kinds[c])).alias(side), F.lit(closed).cast("boolean").alias(f"{side}_in")]
+
+        return rows.withColumn("__range", F.struct(*[F.struct(*end(c, "lo"), *end(c, "hi")).alias(c) for c in spec.clustering_key]))
+
     def _batch(self, s: N.Batch) -> DataFrame:
         """Statements at one time: either all are applied, or, if a condition fails, none."""
         using = N.Using(s.using.ttl, s.using.timestamp or N.Lit(self.now))
-        before = {k: dict(t.generations) for k, t in self.catalog.tables.items()}
+        before = {k: dict(t.generations) for k, t in self.catalog.tables.items()}  # numbers and frames only
         try:
             for x in s.statements:
                 applied = {N.Insert: self._insert, N.Update: self._update, N.Delete: self._delete}[type(x)](x, using).first()[0]
@@ -461,7 +511,8 @@ class Engine:
                     raise _NotApplied
         except BaseException as e:
             for k, g in before.items():
-                self.catalog.tables[k].generations = g
+                if set(g) != set(self.catalog.tables[k].generations):
+                    self.catalog.tables[k].replace_all(g)
             if isinstance(e, _NotApplied):
                 return self._done(False)
             raise
@@ -553,8 +604,18 @@ class Engine:
         n = self.counts["queries"]
         return {**self.counts, "tables": len(self.tables()), "mean_seconds": self.counts["seconds"] / n if n else 0.0}
 
-    def compact(self, table: str, gc_grace_seconds: int = 864_000) -> None:
-        self.catalog.stored(table).compact(self.now, gc_grace_seconds)
+    def compact(self, table: str, gc_grace_seconds: int = 864_000, only_if_due: bool = False) -> bool:
+        """Merge a table's generations; with ``only_if_due`` if its compaction strategy would merge some now."""
+        t = self.catalog.stored(table)
+        if only_if_due and not t.due():
+            return False
+        t.compact(self.now, gc_grace_seconds)
+        return True
+
+    def open_table(self, path: str) -> Engine:
+        """A stored table that an earlier session wrote under a path."""
+        self.catalog.open(path)
+        return self
 
     def export(self, text: str, path: str, format: str, **options) -> None:
         sinks.export(self.execute(text), path, format, **options)

@@ -80,8 +80,8 @@ class Lowering:
                 names.append(n)
         if q.distinct:
             done = df.select(*out).distinct()
-            return self._limits(self._sorted_output(done, order, items, q), q)
-        if order:
+            done = self._limits(self._sorted_output(done, order, items, q), q)
+        elif order:
             own = {n.lower() for n in names}
             keys, hidden = [], []
             for k, o in enumerate(order):

@@ -105,11 +105,11 @@ def to_sql(df: DataFrame, path: str, table: str, mode: str = "overwrite") -> Non
     insert_statements(df, table).write.mode(mode).text(path)
 
 
-def write_table(df: DataFrame, spec: TableSpec, path: str, partitions: int | None = None, compression: str = "zstd") -> None:
+def write_table(df: DataFrame, spec: TableSpec, path: str, partitions: int | None = None, compression: str = "zstd", mode: str = "overwrite") -> None:
     """A table laid out by its key: partitions together, rows in clustering order, bloom filters on the partition key."""
     from lamina.operators.partitions import clustered
 
-    to_parquet(clustered(df, spec, partitions), path, compression, bloom=list(spec.partition_key))
+    to_parquet(clustered(df, spec, partitions), path, compression, mode, bloom=list(spec.partition_key))
 
 
 EXPORTS = {"csv": to_csv, "json": to_json_lines, "parquet": to_parquet, "orc": to_orc, "excel": to_excel}
