@@ -3,7 +3,7 @@
 Words are hashed once; a seed hashes the words that a fixed mask selects, so a changed word at an ignored position does not
 hide an overlap. Seeds of documents meet those of the benchmark by hash; around each hit both texts are compared word for
 word on the hit's diagonal, and the best stretch counts, a match 1 and a substitution -2. An item is found in a document if
-the stretch scores ENOUGH, or SHARE of the item's words.
+the stretch scores ENOUGH, or SHARE of the item's words, or if WHOLE of its words match on one diagonal.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut
+from lamina.llm.common import cut, fresh
 
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("1101011", "1110011", "11011001")
 #: Items of fewer words are too common to prove anything; those below LONG words must occur whole, word for word.
 LEAST, LONG = 5, 8
-SUBSTITUTION, ENOUGH, SHARE = -2, 13, 0.7
+SUBSTITUTION, ENOUGH, SHARE, WHOLE = -2, 13, 0.7, 0.8
 #: The benchmark's seeds are broadcast up to so many words of it, about 200 MB; beyond, hits are found by a shuffle.
 BROADCAST_WORDS = 1_000_000
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -78,16 +78,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_words: int = B
         pairs = places.select("doc_id", "__pos", "__seed").join(seeds.select("__seed", "item_id", "__at"), "__seed").select("doc_id", "item_id", diagonal).distinct()
         hits = pairs.join(items, "item_id").withColumnRenamed("doc_id", "__d").join(words, F.col("__d").eqNullSafe(F.col("doc_id")))
         found = hits.select("doc_id", "item_id", F.size("__item").alias("item_words"), _verify("__words").alias("__v"))
-    best = found.groupBy("doc_id", "item_id", "item_words").agg(F.max(F.struct(F.col("__v.best").alias("score"), F.col("__v.n").alias("n_match"))).alias("v"))
-    out = best.select("doc_id", "item_id", "v.score", "v.n_match", "item_words")
-    return out.filter((F.col("score") >= ENOUGH) | (F.col("score") * 10 >= F.col("item_words") * int(SHARE * 10)))
+    best = found.groupBy("doc_id", "item_id", "item_words").agg(F.max("__v.best").alias("score"), F.max("__v.n").alias("n_match"))
+    out = best.select("doc_id", "item_id", "score", "n_match", "item_words")
+    share = F.col("score") * 10 >= F.col("item_words") * int(SHARE * 10)
+    return out.filter((F.col("score") >= ENOUGH) | share | (F.col("n_match") * 10 >= F.col("item_words") * int(WHOLE * 10)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """``docs`` without those in which an item was found; a row whose doc_id is null goes if any such row holds an item."""
-    bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct())  # kept, so that the texts are searched once
+    """``docs`` without those in which an item was found; a row whose doc_id is null goes if any such row holds an item.
+
+    Null and empty texts stay; rows that repeat an id go or stay together; all columns stay as they are, whatever their names.
+    An empty table of either kind removes nothing.
+    """
+    name = fresh(docs, "__bad")[0]
+    bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct())  # kept, so that the texts are searched once
     few = bad.limit(broadcast_ids + 1).count() <= broadcast_ids
-    return docs.join(F.broadcast(bad) if few else bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti")
 
 
 def oracle() -> str:
@@ -106,5 +112,5 @@ def oracle() -> str:
     r AS (SELECT *, sum(CASE WHEN same = 1 THEN 1 ELSE {SUBSTITUTION} END) OVER (PARTITION BY doc_id, item_id, g ORDER BY j) AS t FROM q),
     b AS (SELECT *, least(0, coalesce(min(t) OVER (PARTITION BY doc_id, item_id, g ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM r),
     x AS (SELECT doc_id, item_id, g, n, greatest(0, max(t - low)) AS score, sum(same) AS n_match FROM b GROUP BY ALL),
-    y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, n_match DESC) AS k FROM x)
-    SELECT doc_id, item_id, score::INT AS score, n_match::INT AS n_match, n::INT AS item_words FROM y WHERE k = 1 AND (score >= {ENOUGH} OR score * 10 >= n * {int(SHARE * 10)})"""
+    y AS (SELECT doc_id, item_id, n, max(score) AS score, max(n_match) AS n_match FROM x GROUP BY ALL)
+    SELECT doc_id, item_id, score::INT AS score, n_match::INT AS n_match, n::INT AS item_words FROM y WHERE score >= {ENOUGH} OR score * 10 >= n * {int(SHARE * 10)} OR n_match * 10 >= n * {int(WHOLE * 10)}"""

@@ -33,6 +33,22 @@ def test_substitutions(spark):
     assert pairs(D.contaminated(docs, bench)) == [(1, 1), (2, 1), (4, 1)]
 
 
+def test_spread_substitutions_in_short_items(spark):
+    """One to three words changed inside items of 8 to 21 words, as far as four fifths of them stay."""
+    rows, want = [], []
+    for n in (8, 12, 15, 16, 18, 20, 21):
+        item = [f"i{n}w{k}" for k in range(n)]
+        for changed in range(1, 4):
+            at = [round((j + 1) * n / (changed + 1)) for j in range(changed)]
+            text = " ".join(w if k not in at else "other" for k, w in enumerate(item))
+            rows.append((n * 10 + changed, text))
+            if (n - changed) * 10 >= n * 8 and n >= 12:
+                want.append((n * 10 + changed, n))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (8, 12, 15, 16, 18, 20, 21)], "item_id long, text string")
+    assert set(want) <= set(pairs(D.contaminated(docs, bench)))
+
+
 def test_short_items(spark):
     docs = spark.createDataFrame([(1, "x one two three four five six y"), (2, "one two three four five seven"), (3, "yes")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "One two; three four five six"), (2, "yes"), (3, None), (4, "")], "item_id long, text string")
