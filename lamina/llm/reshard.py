@@ -3,7 +3,8 @@
 From the bytes that old shards hold and the capacities of new ones, a transport of least cost says how many bytes go from
 where to where. Rows move in blocks: documents with equal texts are one unit; units above 1/64 of a shard, of which there can
 only be 64 a shard, are planned one by one, all others by hash bucket of their old shard, so what the driver holds is bounded
-by the numbers of shards and never by the rows. A group of equal texts above a quarter of a shard is split by doc_id.
+by the numbers of shards and never by the rows. A group of equal texts stays whole unless it is larger than a shard; then it
+is split by doc_id.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql.window import Window
 
 #: Blocks of an old shard: 9/10 of its bytes in COARSE, the rest in FINE ones, which level the shards.
 COARSE, FINE = 160, 240
-#: A unit is planned alone above 1/ALONE of a shard; a group of equal texts is split above 1/WHOLE.
-ALONE, WHOLE = 64, 4
+#: A unit is planned alone above 1/ALONE of a shard; a group of equal texts is split only if it
+#: is larger than 1/WHOLE of a shard, that is if no shard can hold it. Pieces of a block that are numbered apart.
+ALONE, WHOLE, PIECES = 64, 1, 64
 
 
 def transport(supply: list[int], capacity: list[int], cost: np.ndarray) -> np.ndarray:
@@ -144,13 +146,15 @@ def _ease(own: list[list[Block]], load: list[int], a: int, b: int, gap: int) ->
     return True
 
 
-def _slim(docs: DataFrame, old_shards: int) -> DataFrame:
+def _parts(text, doc_id, old_shards: int) -> list:
     """What planning needs of a row; a null text counts as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(text, F.lit(""))
     h = F.xxhash64(text)
-    return docs.select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("__size"), F.crc32(text.cast("binary")).cast("long").alias("__crc"), h.alias("__h"), F.pmod(h, F.lit(old_shards)).cast("int").alias("__old"), _bucket(h).alias("__bucket")
-    )
+    return [doc_id.alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("__size"), F.crc32(text.cast("binary")).cast("long").alias("__crc"), h.alias("__h"), F.pmod(h, F.lit(old_shards)).cast("int").alias("__old"), _bucket(h).alias("__bucket")]
+
+
+def _slim(docs: DataFrame, old_shards: int) -> DataFrame:
+    return docs.select(*_parts(F.col("text"), F.col("doc_id"), old_shards))
 
 
 def _bucket(h):
@@ -226,11 +230,16 @@ def _assign(slim: DataFrame, p: Plan) -> DataFrame:
 def assign(docs: DataFrame, p: Plan) -> DataFrame:
     """A row for each of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard, moved.
 
-    Null texts have size 16; rows may repeat and doc_id may be null. Equal texts share a shard unless they fill more than a
-    quarter of one. Slots are gapless from 0 in each shard; they are numbered within blocks, so no task sees a whole shard.
+    Null texts have size 16; rows may repeat and doc_id may be null. Equal texts share a shard unless they fill more than
+    one. Slots are gapless from 0 in each shard; they are numbered within blocks, so no task sees a whole shard.
     """
-    rows = _assign(_slim(docs, p.old_shards), p)
-    rank = F.row_number().over(Window.partitionBy("__block").orderBy("doc_id", "__crc", "__size"))
+    rows = _assign(_slim(docs, p.old_shards), p).withColumn("__piece", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PIECES)).cast("int"))
+    # Pieces of a block are counted, and each is numbered by itself from where the one before it ends.
+    counts = rows.groupBy("__block", "__piece").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__block").orderBy("__piece")) - F.col("__n")
+    starts = F.broadcast(counts.select("__block", "__piece", before.alias("__before")))  # PIECES for each block at most, and those are bounded
+    rows = rows.join(starts, ["__block", "__piece"])
+    rank = F.row_number().over(Window.partitionBy("__block", "__piece").orderBy("doc_id", "__crc", "__size")) + F.col("__before")
     return rows.select(
         "doc_id",
         F.col("__size").alias("size"),
@@ -245,12 +254,18 @@ def assign(docs: DataFrame, p: Plan) -> DataFrame:
 
 
 def reshard(docs: DataFrame, p: Plan) -> DataFrame:
-    """``docs`` with shard, old_shard and shard_moved; no row is shuffled."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    h = F.xxhash64(text)
+    """``docs`` with shard, old_shard and shard_moved; no row is shuffled.
+
+    Columns of these names are replaced, all others stay as they are, whatever their names. Null texts count as empty, rows that
+    repeat share a shard, an empty table gives an empty table.
+    """
     base = docs.drop("shard", "old_shard", "shard_moved")
-    tagged = base.withColumns({"__size": (F.octet_length(text) + 16).cast("long"), "__crc": F.crc32(text.cast("binary")).cast("long"), "__h": h, "__old": F.pmod(h, F.lit(p.old_shards)).cast("int"), "__bucket": _bucket(h)})
-    return _assign(tagged, p).select(*base.columns, "shard", F.col("__old").alias("old_shard"), (F.col("__old") != F.col("shard")).alias("shard_moved"))
+    aside = {c: f"__user{k}" for k, c in enumerate(base.columns)}  # no name of a user's column can meet one of the plan's
+    text, doc_id = F.col(aside["text"]), F.col(aside["doc_id"])
+    given = base.toDF(*aside.values())
+    tagged = given.select("*", *_parts(text, doc_id, p.old_shards))
+    out = _assign(tagged, p)
+    return out.select(*[F.col(v).alias(c) for c, v in aside.items()], "shard", F.col("__old").alias("old_shard"), (F.col("__old") != F.col("shard")).alias("shard_moved"))
 
 
 def rewrite(resharded: DataFrame, path: str) -> list[int]:
