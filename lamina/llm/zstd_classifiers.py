@@ -9,14 +9,16 @@ calibrated score; language takes the smallest size and rejects narrow margins. D
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lamina.llm.common import encode, held_out, prefix_hashes, ship, span_hashes
+from lamina.llm.common import encode, fresh, held_out, prefix_hashes, ship, span_hashes
 
 #: Bytes of text in a dictionary, and at most from one document.
 DICTIONARY_BYTES, PIECE_BYTES = 110_000, 4_000
@@ -125,9 +127,11 @@ def stretch(data: bytes) -> bytes:
 
 
 def dictionary(texts: list[bytes], limit: int = DICTIONARY_BYTES) -> bytes:
+    """A piece of each text, from anywhere in it by a hash, until the dictionary is full."""
     out, n = [], 0
     for t in texts:
-        piece = t[:PIECE_BYTES][: limit - n]
+        at = zlib.crc32(t) % max(1, len(t) - PIECE_BYTES + 1)
+        piece = t[at : at + PIECE_BYTES][: limit - n]
         out.append(piece)
         n += len(piece) + 1
         if n >= limit:
@@ -136,7 +140,7 @@ def dictionary(texts: list[bytes], limit: int = DICTIONARY_BYTES) -> bytes:
 
 
 def sample(labelled: DataFrame, label: str, text: str, docs: int = SAMPLE_DOCS) -> pd.DataFrame:
-    """At most ``docs`` texts of each label, drawn by a hash of the text: two passes, and what reaches the driver is bounded."""
+    """At most ``docs`` different whole texts of each label, drawn by a hash of the text: two passes, and how many reach the driver is bounded."""
     labelled = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     counts = labelled.groupBy(label).count().orderBy(F.desc("count")).limit(MAX_CLASSES + 1).collect()
     if len(counts) > MAX_CLASSES:
@@ -145,9 +149,9 @@ def sample(labelled: DataFrame, label: str, text: str, docs: int = SAMPLE_DOCS)
         return pd.DataFrame({"y": [], "t": []})
     draw = F.pmod(F.xxhash64(text), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(1.0, docs / r["count"]))]), F.col(label))
-    got = labelled.filter(draw < share).select(F.col(label).alias("y"), F.substring(text, 1, 4 * PIECE_BYTES).alias("t"), F.xxhash64(text).alias("h"))
-    got = got.orderBy("h").limit(2 * docs * len(counts)).toPandas()
-    return got.groupby("y", group_keys=False).head(docs)[["y", "t"]].reset_index(drop=True)
+    got = labelled.filter(draw < share).select(F.col(label).alias("y"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    got = got.dropDuplicates(["y", "h"]).withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h"))).filter(F.col("k") <= docs)
+    return got.orderBy("h").toPandas()[["y", "t"]]
 
 
 # ---------------------------------------------------------------- language
@@ -186,7 +190,7 @@ class LanguageModel:
 
 
 def fit_language(docs: DataFrame, docs_per_class: int = SAMPLE_DOCS) -> LanguageModel:
-    """Learns from ``text`` and ``lang`` of rows that are not held out."""
+    """Learns from ``text`` and ``lang`` of rows that are not held out: at most ``docs_per_class`` different texts a language. Null or empty texts and null languages teach nothing; without any rows the model knows no language."""
     return LanguageModel(sample(docs.filter(~held_out(F.col("doc_id"))), "lang", "text", docs_per_class))
 
 
@@ -205,9 +209,9 @@ def identify(docs: DataFrame, model: LanguageModel, min_margin: float = 0.004) -
         for texts in batches:
             yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "lang_score", "lang_margin"])
 
-    own = ["lang_pred", "lang_score", "lang_margin", "lang_rejected", "__p"]
-    out = docs.drop(*own).withColumn("__p", predict(F.col("text")))
-    out = out.select(*[c for c in out.columns if c != "__p"], "__p.*")
+    docs = docs.drop("lang_pred", "lang_score", "lang_margin", "lang_rejected")
+    got = fresh(docs, "__p")[0]
+    out = docs.withColumn(got, predict(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns], f"{got}.*")
     return out.withColumn("lang_rejected", (F.col("lang_pred") == "und") | (F.col("lang_margin") < min_margin))
 
 
@@ -254,15 +258,15 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, docs_per_class: int = SAMPLE_DOCS) -> QualityModel:
-    """Learns from ``labels.quality`` of documents that are not held out. The text columns' other neighbours are never read."""
+    """Learns from ``labels.quality`` of documents that are not held out: at most some ``docs_per_class`` different texts a class. Other columns are never read; null labels, ids and texts teach nothing, and of two labels of a document the worse holds."""
     marks = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y")).filter(~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"))  # a repeated row counts once; of two labels the worse holds
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("y") == 1, min(1.0, docs_per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, docs_per_class / max(1, counts.get(0, 0))))
     drawn = F.broadcast(marks.filter(draw < share).orderBy("doc_id").limit(3 * docs_per_class))  # bounded by the limit
-    got = docs.select("doc_id", "text").join(drawn, "doc_id").select("y", F.substring("text", 1, 4 * PIECE_BYTES).alias("t"), F.xxhash64("text").alias("h"))
-    got = got.filter(F.col("t").isNotNull()).orderBy("h").limit(6 * docs_per_class).toPandas()
+    got = docs.select("doc_id", "text").join(drawn, "doc_id").select("y", F.col("text").alias("t"), F.xxhash64("text").alias("h"))
+    got = got.filter(F.col("t").isNotNull()).dropDuplicates(["y", "h"]).orderBy("h").limit(6 * docs_per_class).toPandas()
     return QualityModel(got)
 
 
