@@ -27,7 +27,7 @@ SAMPLE_DOCS, EPOCHS, STEPS, SURE = 3_000, 300, 16, 0.95
 #: Potential of two repeats with equal labels at least; characters between neighbours at most.
 REPEAT, NEAR = 8, 60
 
-_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -53,8 +53,9 @@ def emails(text: str) -> list[tuple[int, int]]:
     """Around each @ sign: a name can only be the run of its characters that ends there, so nothing is scanned twice."""
     out, at, end = [], text.find("@"), 0
     while at >= 0:
-        lead = text[end:at]
-        start = end + len(lead.rstrip(_LOCAL))
+        start = at
+        while start > end and text[start - 1] in _LOCAL:  # stops at the @ sign before, so all is read once
+            start -= 1
         m = _DOMAIN.match(text, at + 1) if start < at else None
         if m:
             out.append((start, m.end()))
@@ -232,7 +233,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     marked = docs.filter(F.col("text").rlike("[0-9@]"))
     n = marked.count()
     share = int((1 << 20) * min(1.0, sample_docs / max(1, n)))
-    drawn = marked.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share).select(F.substring("text", 1, 50_000).alias("text"), F.xxhash64("text").alias("h"))
+    drawn = marked.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share).select("text", F.xxhash64("text").alias("h")).dropDuplicates(["h"])
     return Field.train([r["text"] for r in drawn.orderBy("h").limit(sample_docs).collect()])
 
 
