@@ -221,6 +221,20 @@ def test_mixing_odd_rows(spark, odd):
     assert len(got) == 12 and all(0 <= r.probability <= 1 for r in got) and K.mix_sources(odd.limit(0)).count() == 0
 
 
+def test_drawn_tokens_meet_targets(spark):
+    """Marginals of what is drawn, not of the weights; the raked shares of a category are capped by what it holds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = K.mix_sources(docs).toPandas()
+    total = got.n_tokens.sum()
+    for d in K.DIMS:
+        held = got.assign(**{d: got[d].fillna("(null)")}).groupby(d)
+        share = (held.n_tokens.sum() / total).to_numpy()
+        goal = K._goal(share, share ** K.POWERS[d] * (share > 0), K.BUDGET)
+        drawn = held.apply(lambda g: (g.probability * g.n_tokens).sum() / total, include_groups=False).to_numpy()
+        assert abs(drawn - goal).max() < 0.005 * K.BUDGET
+    assert got.probability.max() <= 1
+
+
 # ---------------------------------------------------------------- sharding
 
 
@@ -275,6 +289,15 @@ def test_shards_odd_rows_and_rewrite(spark, odd, tmp_path):
     assert H.assign(odd.limit(0), H.plan(odd.limit(0))).count() == 0
 
 
+def test_equal_texts_stay_whole(spark):
+    rows = [(k, "same text " * 40) for k in range(60)] + [(100 + k, f"text number {k} " * 30) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = H.assign(docs, H.plan(docs, shards=5, old_shards=4)).toPandas()
+    assert got[got.doc_id < 100].shard.nunique() == 1 and (got.groupby("shard").slot.max() + 1 == got.groupby("shard").slot.nunique()).all()
+    spread = got.groupby("shard")["size"].sum()
+    assert spread.max() - spread.min() <= 2 * got["size"].max()
+
+
 def test_rewrite_of_an_existing_layout(spark, tmp_path):
     path = str(tmp_path / "shards")
     rows = [(k, f"text {k}", k % 4) for k in range(40)]
@@ -295,6 +318,22 @@ def test_rewrite_of_an_existing_layout(spark, tmp_path):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_stages_keep_user_columns(spark, odd):
+    """Values of columns with names of the operators' own come back as they were."""
+    import corpus_pipeline
+
+    own = odd.withColumns({c: F.concat(F.lit("u"), F.coalesce(F.col("text"), F.lit("-"))) for c in ("__s", "__id", "__bad", "__p", "__k", "__source", "lang_rejected", "sampled", "probability", "__size")})
+    want = {str(r) for r in own.collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, own, "/root/testdata/sf0.001")
+        assert out.columns == own.columns, name
+        assert {str(r) for r in out.collect()} <= want, name
+    out = corpus_pipeline.sharding(spark, own.drop("shard"), "/root/testdata/sf0.001")
+    assert {str(r) for r in out.select(*own.drop("shard").columns).collect()} == {str(r) for r in own.drop("shard").collect()}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, own.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
 def test_pipeline_against_its_operators(spark):
     import corpus_pipeline
 
