@@ -31,13 +31,13 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sketches of a text, and k-mers in a sketch.
 SKETCHES, DEPTH = 32, 2
 #: Of the exact join: a text shows len / EXTRA runs more than it must; texts a part; texts that share a run from which it is
-#: dealt into blocks; pairs that are counted at once.
-EXTRA, PART_TEXTS, BLOCK, PAIRS = 10, 8_192, 2_000, 4_000_000
+#: dealt into blocks; meetings that are listed, and pairs that are counted, at once.
+EXTRA, PART_TEXTS, BLOCK, PAIRS = 10, 4_096, 2_000, 500_000
 #: Counts of runs, by which runs are ordered from rare to common, are kept by hash in at most so many bins, four for each
 #: document. The order decides how much is compared, never the result.
 MOST_BINS, RANGES = 1 << 24, 64
 #: Of a neighbourhood: texts and words of a block, of which two are compared at once; runs that are counted at once.
-NEAR_TEXTS, NEAR_WORDS, COLUMNS = 400, 2_000_000, 4_096
+NEAR_TEXTS, NEAR_WORDS, COLUMNS = 300, 500_000, 4_096
 
 _CODES = byte_codes(3)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -80,7 +80,7 @@ def sketch(words: np.ndarray, sketches: int = SKETCHES, depth: int = DEPTH) -> n
     label = labelled(h)
     out = np.empty(sketches, np.uint64)
     d = min(depth, len(h))
-    step = max(1, 4_000_000 // len(h))  # long texts a few sketches at a time
+    step = max(1, 1_000_000 // len(h))  # long texts a few sketches at a time
     for at in range(0, sketches, step):
         value = mix(label[None, :] ^ _SEEDS[at : min(at + step, sketches), None])
         least = np.sort(np.argpartition(value, d - 1, axis=1)[:, :d] if d < len(h) else np.broadcast_to(np.arange(len(h)), value.shape), axis=1)
@@ -330,6 +330,8 @@ def _links(node: np.ndarray, label: np.ndarray, block: np.ndarray, words: list[n
     i, j = np.nonzero(enough)
     order = np.argsort(-shared[i, j] / longer[i, j], kind="stable")  # the likeliest first
     parent, ids = list(range(len(kinds))), {}
+    _, word = np.unique(np.concatenate(words), return_inverse=True)
+    begin, number = np.concatenate([[0], np.cumsum(size)]), list(range(int(word.max()) + 1 if len(word) else 0))  # one object for each word
     out: tuple[list[int], list[int]] = ([], [])
 
     def top(c: int) -> int:
@@ -343,7 +345,7 @@ def _links(node: np.ndarray, label: np.ndarray, block: np.ndarray, words: list[n
             continue
         for t in (x, y):
             if t not in ids:
-                w = words[t].tolist()
+                w = [number[k] for k in word[begin[t] : begin[t + 1]].tolist()]
                 ids[t] = (w, Counter(w))
         (p, pc), (q, qc) = ids[x], ids[y]
         n = max(len(p), len(q))
@@ -464,12 +466,11 @@ def _meetings(blocks: list[bytes], similarity: float) -> Iterator[tuple[np.ndarr
     words = words.astype(np.int64)
     least, extra = words - ((1 - similarity) * words + 1e-9).astype(np.int64), _extra(words, similarity, _width(similarity))
 
-    def flush(codes: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        code, times = np.unique(np.concatenate(codes), return_counts=True)
+    def rows(code: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
         i, j = code // base, code % base
         return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), times, 1 + np.minimum(extra[i], extra[j])
 
-    total, codes, held, lo = np.cumsum(meets), [], 0, 0
+    total, code, times, lo = np.cumsum(meets), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     while lo < len(x):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
         n = meets[lo:hi]
@@ -479,13 +480,14 @@ def _meetings(blocks: list[bytes], similarity: float) -> Iterator[tuple[np.ndarr
         longer = np.where(words[i] >= words[j], i, j)
         ok = (np.minimum(words[i], words[j]) >= least[longer]) & ((side[mine] == 0) | (side[mine] != side[other]))
         i, j, lo = i[ok], j[ok], hi
-        codes.append(np.minimum(i, j) * base + np.maximum(i, j))
-        held += len(i)
-        if held > PAIRS:
-            yield flush(codes)
-            codes, held = [], 0
-    if held:
-        yield flush(codes)
+        new, n = np.unique(np.minimum(i, j) * base + np.maximum(i, j), return_counts=True)
+        code, where = np.unique(np.concatenate([code, new]), return_inverse=True)
+        times = np.bincount(where, np.concatenate([times, n]), len(code)).astype(np.int64)
+        if len(code) > PAIRS:
+            yield rows(code, times)
+            code, times = code[:0], times[:0]
+    if len(code):
+        yield rows(code, times)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, loose: bool = False) -> DataFrame:
