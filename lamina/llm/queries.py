@@ -24,7 +24,7 @@ def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = audio.audio_features(documents(spark, sf_dir))
-    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments")
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments", "segments", "logmel", "span_s")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
