@@ -1,8 +1,9 @@
 """Personal data by patterns and a skip-chain conditional random field (operator 7).
 
 Patterns give the base spans. The field labels the words that hold a digit or an @ sign: neighbours share potentials, and so
-do a word and the last one like it (the same letters and digits, or the same long run of digits), however far away; loopy
-message passing then carries a label to repeats that no pattern matches, such as a number written again with other signs. The
+do a word and those like it (the same letters and digits, or the same long run of digits), however far away: the last one, and
+the first that a pattern matches. Loopy message passing then carries a label to repeats that no pattern matches, such as a
+number written again with other signs; it goes on in each document until its messages stand still. The
 potentials are trained by pseudo-likelihood on the patterns' own labels, over a bounded sample in which half of the labelled
 words hide what the patterns look at.
 """
@@ -23,7 +24,11 @@ from lamina.llm.common import ship
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field: 0 is none, then the kinds.
 LABELS = len(KINDS) + 1
-SAMPLE_DOCS, EPOCHS, STEPS, SURE = 3_000, 300, 16, 0.95
+SAMPLE_DOCS, EPOCHS, SURE = 3_000, 300, 0.95
+#: Messages stand still if none changes by more; from this step on they are damped more each time, so that they always end.
+STILL, SLOWER = 1e-3, 100
+#: Texts and characters of a graph; a longer text is a graph of its own.
+GRAPH_TEXTS, GRAPH_CHARS = 256, 4_000_000
 #: Potential of two repeats with equal labels at least; characters between neighbours at most.
 REPEAT, NEAR = 8, 60
 
@@ -91,7 +96,7 @@ FEATURES = SURFACE + 15 + _HASHED
 
 
 def _feature(word: str, before: str) -> np.ndarray:
-    f = np.zeros(FEATURES)
+    f = np.zeros(FEATURES, np.uint8)
     digits = _DIGITS.findall(word)
     n = len(digits)
     f[0], f[1], f[2] = "@" in word, word.lstrip("(").startswith("+"), word.count(".") == 3
@@ -108,14 +113,15 @@ class Graph:
     """The marked words of several texts, their edges, and what the patterns say of them."""
 
     def __init__(self, texts: list[str | None]):
-        self.spans, self.base, self.doc, self.features, given, self.edges = [], [], [], [], [], ([], [])
+        self.spans, self.base, self.doc, given, self.edges = [], [], [], [], ([], [])
+        features = bytearray()
         for d, text in enumerate(texts):
             base = base_spans(text) if text else []
             self.base.append(base)
             if not text or not _MARKED.search(text):
                 continue
             cover = sorted((a, b, 1 + KINDS.index(k)) for k, a, b in base)
-            last: dict[str, int] = {}
+            alike: dict[str, list[int]] = {}
             prev_end, c = -(1 << 60), 0
             for m in _NODE.finditer(text):
                 core = _CORE.search(m[0])
@@ -124,13 +130,13 @@ class Graph:
                 a, b = m.start() + core.start(), m.start() + core.end()
                 while c < len(cover) and cover[c][1] <= a:
                     c += 1
-                inside = next(((x, y, k) for x, y, k in cover[c : c + 4] if x < b and a < y), None)
+                inside = cover[c] if c < len(cover) and cover[c][0] < b else None
                 label = inside[2] if inside else 0
                 k = len(self.spans)
                 before = _BEFORE.search(text[max(0, m.start() - 24) : m.start()])
                 self.spans.append((a, b))
                 self.doc.append(d)
-                self.features.append(_feature(m[0], before[1] if before else ""))
+                features += _feature(m[0], before[1] if before else "").tobytes()
                 given.append(label)
                 if m.start() - prev_end <= NEAR:
                     self.edges[0].append((k - 1, k))
@@ -139,11 +145,14 @@ class Graph:
                 digits = "".join(_DIGITS.findall(word))
                 keys = [f"w{word}" if len(word) >= 6 else ""] + [f"{t}{d}" for d in {digits, "".join(_DIGITS.findall(text[inside[0] : inside[1]])) if inside else ""} for t, d in (("d", d), ("s", d[-9:])) if len(d) >= 7]
                 for key in sorted({*keys} - {""}):  # of a span of several words also the whole
-                    if key in last and last[key] != k and (last[key], k) not in self.edges[1][-4:]:
-                        self.edges[1].append((last[key], k))
-                    last[key] = k
+                    alike.setdefault(key, []).append(k)
+            pairs = set()
+            for these in alike.values():
+                matched = next((k for k in these if given[k]), these[0])
+                pairs |= {*zip(these, these[1:], strict=False)} | {(min(matched, k), max(matched, k)) for k in these if k != matched}
+            self.edges[1].extend(sorted(pairs))
         self.given = np.array(given, int)
-        self.x = np.array(self.features).reshape(len(self.spans), FEATURES)
+        self.x = np.frombuffer(bytes(features), np.uint8).reshape(len(self.spans), FEATURES)
 
 
 class Field:
@@ -166,7 +175,7 @@ class Field:
                 around[a, g.given[b]] += 1
                 around[b, g.given[a]] += 1
             sums.append(around)
-        seen = g.x.copy()
+        seen = g.x.astype(float)
         hidden = (rng.random(len(seen)) < 0.5) & (g.given > 0)
         seen[hidden, :SURFACE] = 0
         seen[hidden, SURFACE + 14] = 1  # told apart from words that lack these signs
@@ -186,10 +195,10 @@ class Field:
         skip[np.diag_indices(LABELS)] = np.maximum(skip.diagonal(), REPEAT)
         return cls(w[:FEATURES], np.clip(even(chain), -1, 1), skip)
 
-    def beliefs(self, g: Graph, steps: int = STEPS) -> np.ndarray:
-        """Label probabilities by loopy sum-product messages over all edges at once; the patterns' words are fixed."""
-        n = len(g.given)
-        score = g.x @ self.unary
+    def beliefs(self, g: Graph) -> np.ndarray:
+        """Label probabilities by loopy sum-product messages, in each document until they stand still, whatever others do; the patterns' words are fixed."""
+        n, step = len(g.given), 1 << 16
+        score = np.concatenate([g.x[at : at + step].astype(float) @ self.unary for at in range(0, n, step)]) if n else np.zeros((0, LABELS))
         fixed = g.given > 0
         score[fixed] = -30
         score[fixed, g.given[fixed]] = 0
@@ -198,16 +207,24 @@ class Field:
         if edges:
             e = np.array(edges)
             src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
-            pot = np.exp(np.stack([self.chain, self.skip]))[np.concatenate([e[:, 2], e[:, 2]])]
+            kind, pot = np.concatenate([e[:, 2], e[:, 2]]), np.exp(np.stack([self.chain, self.skip]))
             back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
-            msg = np.zeros((len(src), LABELS))
-            for _ in range(steps):
-                total = score.copy()
-                np.add.at(total, dst, msg)
-                out = total[src] - msg[back]
+            doc, msg = np.array(g.doc)[src], np.zeros((len(src), LABELS))
+            live, speed, t = np.arange(len(src)), 0.5, 0
+            while len(live):
+                total, t = score.copy(), t + 1
+                np.add.at(total, dst[live], msg[live])
+                out = total[src[live]] - msg[back[live]]
                 out = np.exp(out - out.max(1, keepdims=True))
-                new = np.log(np.einsum("ei,eij->ej", out, pot) + 1e-30)
-                msg = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))
+                new = np.empty_like(out)
+                for k in (0, 1):
+                    new[kind[live] == k] = np.log(out[kind[live] == k] @ pot[k] + 1e-30)
+                change = speed * (new - new.max(1, keepdims=True) - msg[live])
+                msg[live] += change
+                moves = np.zeros(len(g.base), bool)
+                moves[doc[live[np.abs(change).max(1) > STILL]]] = True
+                live = live[moves[doc[live]]]
+                speed *= 0.95 if t >= SLOWER else 1
             np.add.at(score, dst, msg)
         p = np.exp(score - score.max(1, keepdims=True)) if n else score
         return p / p.sum(1, keepdims=True)
@@ -248,8 +265,12 @@ def find_personal_data(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            size = np.cumsum([len(t or "") for t in whole.column("text").to_pylist()])
+            at = 0
+            while at < whole.num_rows:
+                end = int(np.searchsorted(size, (size[at - 1] if at else 0) + GRAPH_CHARS, "right"))
+                b = whole.slice(at, max(1, min(GRAPH_TEXTS, end - at)))
+                at += b.num_rows
                 g = Graph(b.column("text").to_pylist())
                 rows: dict[str, list] = {k: [] for k in names}
                 for d, base, more in zip(b.column("doc_id").to_pylist(), g.base, shared.value.added(g), strict=True):

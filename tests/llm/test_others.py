@@ -180,6 +180,36 @@ def test_repeats_get_the_label(spark, docs):
     assert field.added(alone) == [[]]
 
 
+def test_every_one_of_many_repeats_gets_the_label(spark, docs):
+    field = P.fit(docs)
+    text = lambda n, at: " ".join("Call +49 170 1234567 at once." if k == at else f"Entry {k}: see 491701234567 there." for k in range(n))
+    for n, at in ((51, 0), (51, 25), (51, 50), (400, 0)):
+        t = text(n, at)
+        assert [t[a:b] for _, a, b in field.added(P.Graph([t]))[0]] == ["491701234567"] * (n - 1)
+    # A document's result does not depend on those it is computed with.
+    texts = [text(51, 7), "Order 491701234567 is ready, as is 491701234567 again.", None, "", text(9, 3)]
+    assert field.added(P.Graph(texts)) == [field.added(P.Graph([t]))[0] for t in texts]
+
+
+def test_beliefs_on_a_tree_equal_enumeration():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        g = P.Graph([])
+        n = int(rng.integers(2, 6))
+        g.base, g.doc, g.given = [[]], [0] * n, np.zeros(n, int)
+        g.x = (rng.random((n, P.FEATURES)) < 0.2).astype(np.uint8)
+        for k in range(1, n):
+            g.edges[int(rng.integers(2))].append((int(rng.integers(k)), k))
+        even = lambda q: (q + q.T) / 2
+        field = P.Field(rng.normal(size=(P.FEATURES, P.LABELS)) / 3, *(even(rng.normal(size=(P.LABELS, P.LABELS))) for _ in "ab"))
+        score, want = g.x @ field.unary, np.zeros((n, P.LABELS))
+        for labels in np.ndindex(*[P.LABELS] * n):
+            z = sum(score[k, x] for k, x in enumerate(labels))
+            z += sum(q[labels[a], labels[b]] for edges, q in zip(g.edges, (field.chain, field.skip), strict=True) for a, b in edges)
+            want[range(n), labels] += np.exp(z)
+        assert np.abs(field.beliefs(g) - want / want.sum(1, keepdims=True)).max() < 0.01
+
+
 def test_pii_odd_rows(spark, odd, docs):
     got = P.find_personal_data(odd, P.fit(odd)).collect()
     assert len(got) == 12 and all(r.n_email == 0 for r in got) and P.find_personal_data(odd.limit(0), P.fit(odd.limit(0))).count() == 0
