@@ -426,6 +426,130 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prepared statement, bound twice."""
+    p = engine(spark, sf_dir, ("orders",)).prepare("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = ? AND o_custkey IN ?")
+    return p.execute("F", [7, 8, 10]).unionByName(p.execute("O", [7]))
+
+
+def table_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables made, changed, emptied and dropped: what is left, by table."""
+    e = Engine(spark, now=NOW)
+    for t in ("stays", "emptied", "dropped"):
+        e.execute(f"CREATE TABLE {t} (id int PRIMARY KEY, name text, spare text)")
+        e.insert_frame(t, read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name")), write_time=10)
+    e.execute("ALTER TABLE stays DROP spare")
+    e.execute("ALTER TABLE stays ADD age int")
+    e.execute("UPDATE stays USING TIMESTAMP 20 SET age = 40 WHERE id = 3")
+    e.execute("TRUNCATE emptied")
+    e.execute("INSERT INTO emptied (id, name) VALUES (1, 'after')")
+    e.execute("DROP TABLE dropped")
+    left = e.execute("DESCRIBE TABLES").select(F.col("name").alias("held"), F.lit(-1).alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("age"))
+    return e.execute("SELECT 'stays' AS held, id, name, age FROM stays").unionByName(e.execute("SELECT 'emptied' AS held, id, name, NULL AS age FROM emptied")).unionByName(left)
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, now=NOW)
+    e.execute("CREATE TABLE people (city text, id int, name text, tags set<text>, PRIMARY KEY (city, id)) WITH CLUSTERING ORDER BY (id DESC)")
+    return e.execute("DESCRIBE people")
+
+
+def user_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of a user-defined type, written as literals and read by field."""
+    e = Engine(spark, now=NOW)
+    e.execute("CREATE TYPE place (street text, zip int)")
+    e.execute("CREATE TABLE homes (id int PRIMARY KEY, home frozen<place>)")
+    e.execute("INSERT INTO homes (id, home) VALUES (1, {street: 'a', zip: 10})")
+    e.execute("INSERT INTO homes (id, home) VALUES (2, {street: 'b', zip: 20})")
+    return e.execute("SELECT id, home.street AS street, home.zip AS zip FROM homes")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _orders_table(spark, sf_dir, None)
+    e.execute("CREATE INDEX by_state ON kept (state)")
+    return e.execute("SELECT cust, id FROM kept WHERE state = 'P'")
+
+
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of a statement says that its filter reaches the scan and that only its columns are read."""
+    plan = engine(spark, sf_dir, ("orders",)).execute("EXPLAIN SELECT o_orderkey FROM orders WHERE o_totalprice > 1000")
+    return plan.agg(F.max(F.col("plan").contains("PushedFilters: [IsNotNull(o_totalprice)")).alias("pushed"), F.max(F.col("plan").rlike("ReadSchema: struct<o_orderkey:[a-z]+,o_totalprice:[a-z0-9(,)]+>")).alias("pruned"))
+
+
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the client gets them: their number, rows and first row."""
+    pages = engine(spark, sf_dir, ("nation",)).pages("SELECT n_nationkey FROM nation ORDER BY n_nationkey", 10)
+    return spark.createDataFrame([(k, len(p), p[0].n_nationkey) for k, p in enumerate(pages)], "page int, n int, first long")
+
+
+def client_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the client's calls that give one value."""
+    e = engine(spark, sf_dir, ("orders", "nation"))
+    return spark.createDataFrame(
+        [
+            ("count", e.query_count("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")),
+            ("exists", int(e.query_exists("SELECT o_orderkey FROM orders WHERE o_orderkey < 0"))),
+            ("one", int(e.query_one("SELECT MAX(n_nationkey) AS m FROM nation").m)),
+            ("columns", e.query_columns("nation", "n_nationkey", where="n_regionkey = 1").count()),
+            ("iterated", sum(int(r.n_nationkey) for r in e.iterate("SELECT n_nationkey FROM nation"))),
+        ],
+        "call string, value long",
+    )
+
+
+def files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query over several files as one table, found as generations of a folder."""
+    folder, o = _folder(spark), read(spark, sf_dir, "orders")
+    for k in (1, 2, 10):
+        o.filter(F.col("o_orderkey") % 3 == k % 3 if k < 10 else F.col("o_orderkey") % 3 == 0).write.parquet(f"{folder}/gen-{k}.parquet")
+    found = readers.generations(spark, folder)
+    if list(found) != [1, 2, 10]:
+        raise ValueError(f"generations {list(found)}")
+    return Engine(spark, now=NOW).query_files("SELECT o_orderstatus, COUNT(*) AS n, MAX(o_orderkey) AS last FROM parts GROUP BY o_orderstatus", "parts", *found.values())
+
+
+def displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as YAML text, line by line."""
+    text = sinks.format_rows(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "yaml")
+    return spark.createDataFrame([(x,) for x in text.splitlines()], "line string")
+
+
+def column_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows are in the bins, whose centres lie within the column."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_totalprice").cast("double").alias("price"))
+    return stats.histogram(o, "price", 20).agg(F.sum("y").cast("long").alias("n"), F.count(F.lit(1)).alias("bins"))
+
+
+def _streamed(spark: SparkSession, frame: DataFrame, change: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What a stream over ``frame`` gives once all of it has arrived."""
+    folder, name = _folder(spark), f"s{uuid.uuid4().hex}"
+    frame.write.parquet(f"{folder}/in")
+    out = change(tail.read_generations(spark, f"{folder}/in", frame.schema))
+    out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events with less than a gap between them."""
+    e = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    got = _streamed(spark, e, lambda s: tail.sessions(s, "ts", "5430500 milliseconds", ["user_id"], late="3650 days"), "complete")
+    return got.select("user_id", "n", F.unix_micros("start").alias("begin"))
+
+
+def streamed_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two days that begin each day, with a sum."""
+    e = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    got = _streamed(spark, e, lambda s: tail.windowed(s, "ts", "2 days", value="event_id", late="3650 days", slide="1 day"), "complete")
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "total")
+
+
+def streamed_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that outlive a long time to live and a short one."""
+    e = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    long, short = (_streamed(spark, e, lambda s, t=t: tail.live_only(s, t, "ts"), "append") for t in (100 * 365 * 86_400, 1))
+    return long.withColumn("kind", F.lit("long")).unionByName(short.withColumn("kind", F.lit("short"))).select("event_id", "kind")
+
+
 _KEPT = "SELECT o_custkey::BIGINT AS cust, o_orderkey::BIGINT AS id, o_orderstatus AS state, o_totalprice::DOUBLE AS price FROM orders"
 
 
@@ -495,6 +619,39 @@ _OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         SELECT k, write_time FROM c WHERE rn = 1 AND NOT tombstone AND {_ALIVE.format(now=NOW)}""",
     ),
     "streamed_windows": (streamed_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS n FROM events GROUP BY ALL"),
+    "streamed_sessions": (
+        streamed_sessions,
+        """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 5430500000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT user_id, ts, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, COUNT(*) AS n, epoch_us(MIN(ts)) AS begin FROM s GROUP BY user_id, k""",
+    ),
+    "streamed_sliding": (
+        streamed_sliding,
+        """SELECT strftime(day, '%Y-%m-%d') AS day, COUNT(*) AS n, SUM(event_id)::BIGINT AS total
+        FROM (SELECT unnest([CAST(ts AS DATE), CAST(ts AS DATE) - 1]) AS day, event_id FROM events) GROUP BY day""",
+    ),
+    "streamed_ttl": (streamed_ttl, "SELECT event_id, 'long' AS kind FROM events"),
+    "prepared": (prepared, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (7, 8, 10) OR o_orderstatus = 'O' AND o_custkey = 7"),
+    "table_lifecycle": (
+        table_lifecycle,
+        """SELECT 'stays' AS held, n_nationkey::INT AS id, n_name AS name, CASE WHEN n_nationkey = 3 THEN 40 END AS age FROM nation
+        UNION ALL SELECT 'emptied', 1, 'after', NULL UNION ALL SELECT unnest(['main.emptied', 'main.stays']), -1, NULL, NULL""",
+    ),
+    "described": (
+        described,
+        """SELECT * FROM (VALUES ('city', 'text', 'partition', 0), ('id', 'int', 'clustering desc', 1), ('name', 'text', 'regular', 2), ('tags', 'set<text>', 'regular', 3)) t("name", "type", "role", "position")""",
+    ),
+    "user_type": (user_type, "SELECT * FROM (VALUES (1, 'a', 10), (2, 'b', 20)) t(id, street, zip)"),
+    "indexed": (indexed, f"SELECT cust, id FROM ({_KEPT}) WHERE state = 'P'"),
+    "explained": (explained, "SELECT TRUE AS pushed, TRUE AS pruned"),
+    "paged": (paged, "SELECT (k // 10)::INT AS page, COUNT(*)::INT AS n, MIN(n_nationkey)::BIGINT AS first FROM (SELECT n_nationkey, ROW_NUMBER() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation) GROUP BY k // 10"),
+    "client_calls": (
+        client_calls,
+        """SELECT 'count' AS call, COUNT(*)::BIGINT AS value FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'exists', 0 UNION ALL SELECT 'one', MAX(n_nationkey)::BIGINT FROM nation
+        UNION ALL SELECT 'columns', COUNT(*) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'iterated', SUM(n_nationkey)::BIGINT FROM nation""",
+    ),
+    "files_query": (files_query, "SELECT o_orderstatus, COUNT(*) AS n, MAX(o_orderkey) AS last FROM orders GROUP BY o_orderstatus"),
+    "displayed": (displayed, """SELECT '- n_nationkey: ' || n_nationkey AS line FROM nation UNION ALL SELECT '  n_name: "' || n_name || '"' FROM nation"""),
+    "column_histogram": (column_histogram, "SELECT COUNT(*) AS n, LEAST(20, COUNT(DISTINCT o_totalprice)) AS bins FROM orders"),
     "stored_table": (stored_table, "SELECT n_regionkey AS region, n_nationkey::BIGINT AS id, n_name AS name, CASE WHEN n_nationkey = 1 AND n_regionkey = 1 THEN 2.5 ELSE 1.0 END::DOUBLE AS score FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 2, 900, 'new', NULL"),
 }
 
