@@ -111,3 +111,36 @@ def test_recompression_is_local():
         two = set(zip(*W.recompress(np.concatenate([rng.integers(1, 1 << 60, 30).astype(np.uint64), a])), strict=True))
     inner = {(n, s - 17) for n, s in one if 17 + 3 <= s < 17 + 54}
     assert inner == {(n, s - 30) for n, s in two if 30 + 3 <= s < 30 + 54}
+
+
+def test_a_line_that_all_documents_repeat_costs_its_places(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    scheme, n, times = S.ByteWindows(), 60, 900
+    texts = [f"{k} begins here. " + "Is on the. " * times + f"ends {k * 7}" for k in range(n)]
+    with np.errstate(over="ignore"):
+        found = [scheme.anchors(scheme.units(t)) for t in texts]
+    hits = [[{"pos": int(p), "key": int(k & ((np.uint64(1) << R.KEY_BITS) - np.uint64(1)))} for p, k in zip(*f, strict=True)] for f in found]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1, n + 1)), "text": texts, "n": [len(t) for t in texts], "crc": [0] * n, "hits": hits})
+    blocks = R.gathered(scheme, batch, 1)
+    got = R.unpack(blocks[0])
+    assert len(got["doc"]) == sum(map(len, hits)) > 50_000 and len(got["size"]) < 2_000
+
+    def kept():
+        table, out = R.decided(scheme, [blocks[0]]).to_pydict(), {}
+        for d, p, bits in zip(table["doc_id"], table["pos"], table["bits"], strict=True):
+            out.setdefault(d, []).append((p, bits))
+        gone = [R.covered(scheme, len(t), *(np.array(x, k) for x, k in zip(zip(*out.get(d, [(0, 0)]), strict=True), (np.int64, np.uint64), strict=True))) for d, t in enumerate(texts, 1)]
+        return [(d, len(t), int(g.sum())) for d, (t, g) in enumerate(zip(texts, gone, strict=True), 1)]
+
+    tracemalloc.start()
+    first = kept()
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    assert first == [x[:3] for x in brute_bytes(list(enumerate(texts, 1)))]
+    for chunk, spans in ((5, 20), (100_000, 30)):  # keys with more contexts than are compared at once, and few windows at once
+        monkeypatch.setattr(R, "CHUNK", chunk)
+        monkeypatch.setattr(R, "SPANS", spans)
+        assert kept() == first
