@@ -522,11 +522,9 @@ def column_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, frame: DataFrame, change: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """What a stream over ``frame`` gives once all of it has arrived."""
-    folder, name = _folder(spark), f"s{uuid.uuid4().hex}"
+    folder = _folder(spark)
     frame.write.parquet(f"{folder}/in")
-    out = change(tail.read_generations(spark, f"{folder}/in", frame.schema))
-    out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return tail.arrived(change(tail.read_generations(spark, f"{folder}/in", frame.schema)), mode, f"{folder}/out", f"{folder}/checkpoint")
 
 
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,29 @@ def latest(spark: SparkSession, state: str) -> DataFrame:
     return spark.read.parquet(f"{state}/batch-{numbers[-1]}").filter(~F.col("tombstone"))
 
 
+def arrived(out: DataFrame, mode: str, folder: str, checkpoint: str) -> DataFrame:
+    """What a stream gives once all that is there has arrived: each batch is a folder of files, so no row passes through the driver.
+
+    In mode append the rows of all batches, in mode complete those of the last one, whose predecessors are deleted. A batch that
+    is run again after a failure writes the same folder again.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        if mode == "complete":
+            for old in _folders(batch.sparkSession, folder):
+                if old < number:
+                    path = batch.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch-{old}")
+                    path.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    spark = out.sparkSession
+    out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    numbers = _folders(spark, folder)
+    if not numbers:
+        return spark.createDataFrame([], out.schema)
+    return spark.read.schema(out.schema).parquet(*[f"{folder}/batch-{n}" for n in (numbers[-1:] if mode == "complete" else numbers)])
+
+
 def windowed(stream: DataFrame, time: str, width: str, keys: list[str] = (), value: str | None = None, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Counts, and sums of a value, over tumbling or sliding windows; rows later than the watermark are left out."""
     w = F.window(time, width, slide) if slide else F.window(time, width)

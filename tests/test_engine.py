@@ -315,3 +315,17 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["query", "-t", f"d={path}", "SELECT g, COUNT(*) AS n FROM d GROUP BY g ORDER BY g", "--format", "json"]) == 0
     assert json.loads(capsys.readouterr().out) == [{"g": 0, "n": 3}, {"g": 1, "n": 2}]
     assert cli.main(["query", "-t", f"d={path}", "SELECT nope FROM d"]) == 1
+
+
+def test_what_a_stream_gives_lies_in_files(spark, tmp_path, sf_dir):
+    from lamina import catalogue
+    from lamina.streaming import tail
+
+    assert catalogue.queries()["streamed_sessions"](spark, sf_dir).inputFiles()  # a table in memory would hold all rows in the driver
+    src, state = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(3):
+        spark.range(4).selectExpr(f"id + {4 * k} AS id", "timestamp_seconds(id) AS ts").coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: tail.read_generations(spark, src, spark.read.parquet(src).schema, files_per_trigger=1)
+    assert sorted(r.id for r in tail.arrived(stream(), "append", f"{state}/a", f"{state}/ca").collect()) == list(range(12))
+    got = tail.arrived(tail.windowed(stream(), "ts", "1 hour"), "complete", f"{state}/c", f"{state}/cc")
+    assert [r.n for r in got.collect()] == [12] and len(tail._folders(spark, f"{state}/c")) == 1
