@@ -329,3 +329,9 @@ def test_what_a_stream_gives_lies_in_files(spark, tmp_path, sf_dir):
     assert sorted(r.id for r in tail.arrived(stream(), "append", f"{state}/a", f"{state}/ca").collect()) == list(range(12))
     got = tail.arrived(tail.windowed(stream(), "ts", "1 hour"), "complete", f"{state}/c", f"{state}/cc")
     assert [r.n for r in got.collect()] == [12] and len(tail._folders(spark, f"{state}/c")) == 1
+
+
+def test_rows_that_outlive_lie_in_files(spark, sf_dir):
+    from lamina import catalogue
+
+    assert catalogue.queries()["streamed_ttl"](spark, sf_dir).inputFiles()
