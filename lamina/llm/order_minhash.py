@@ -278,7 +278,7 @@ def _neighbours(texts: DataFrame, nodes: DataFrame, labels: DataFrame, hubs: Dat
     named = nodes.select("node", "words").join(hubs.withColumnRenamed("label", "hub"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("words").alias("w")).filter("lo <> hi")
     blocks = F.greatest(F.ceil(F.col("n") / NEAR_TEXTS), F.ceil(F.col("w") / NEAR_WORDS)).cast("int")
-    several = cut(several.select("hub", blocks.alias("blocks")))
+    several = cut(several.select("hub", blocks.alias("blocks")), short=True)
     named = cut(named.join(several, "hub").filter(F.col("words") >= WORDS).select("node", "hub", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,12 +495,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, loose: bool
 
     Only texts that some pair names are moved; they are a table, so that each join has plain exchanges, whose large partitions Spark splits.
     """
-    pairs = cut(pairs.select("a", "b"))
+    pairs = cut(pairs.select("a", "b"), short=True)
     if pairs.isEmpty():
         out = cut(pairs.withColumn("near", F.lit(True)))
         drop(pairs)
         return out
-    named = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    named = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), short=True)
     wanted = cut(having(texts, named, "node"))
     both = pairs.join(wanted.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(wanted.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
 
@@ -509,7 +509,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, loose: bool
             got = np.array([nearness(encode(x.as_py()), encode(y.as_py()), similarity, loose=loose) for x, y in zip(b.column("ta"), b.column("tb"), strict=True)], np.int8)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(got == 2)], names=["a", "b", "near"]).filter(pa.array(got > 0))
 
-    out = cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, near boolean").distinct())
+    out = cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, near boolean").distinct(), short=True)
     drop(pairs, named, wanted)
     return out
 
@@ -529,14 +529,14 @@ def _settled(pairs: DataFrame, labels: DataFrame, texts: DataFrame, similarity:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that links reach. Labels spread to neighbours and jump to their label's label; each step is a table of its own, and the one before goes."""
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    step = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumn("was", F.col("node")))
+    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), short=True)
+    step = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumn("was", F.col("node")), short=True)
     while True:
         labels = step.select("node", "label")
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = labels.join(near, "node").select("node", F.least("label", "near").alias("least"), "label")
         jump = labels.select(F.col("node").alias("least"), F.col("label").alias("far"))
-        last, step = step, cut(least.join(jump, "least", "left").select("node", F.least("least", F.coalesce("far", "least")).alias("label"), F.col("label").alias("was")))
+        last, step = step, cut(least.join(jump, "least", "left").select("node", F.least("least", F.coalesce("far", "least")).alias("label"), F.col("label").alias("was")), short=True)
         drop(last)
         if step.filter("label <> was").isEmpty():
             drop(both)
@@ -550,11 +550,11 @@ def joined(labels: DataFrame, links: DataFrame, keep: bool = False) -> DataFrame
     if links.isEmpty():
         drop(None if keep else links)
         return labels
-    between = cut(_apart(links, labels, "a", "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    between = cut(_apart(links, labels, "a", "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), short=True)
     merged = components(between)
     new = merged.join(labels.select("node"), "node", "left_anti")  # nodes without a label until now
     moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    out = cut(moved.unionByName(new))
+    out = cut(moved.unionByName(new), short=True)
     drop(between, merged, labels, None if keep else links)
     release(out.sparkSession)
     return out
@@ -579,7 +579,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     texts = rows.select(F.col("doc_id").alias("node"), "text")
     members = _members(nodes)
     found = _candidates(members, similarity)
-    best = cut(found.groupBy("node").agg(F.max(F.struct("shared", (-F.col("rep")).alias("back"))).alias("best")).select("node", (-F.col("best.back")).alias("rep")))
+    best = cut(found.groupBy("node").agg(F.max(F.struct("shared", (-F.col("rep")).alias("back"))).alias("best")).select("node", (-F.col("best.back")).alias("rep")), short=True)
     one = _verified(best.select(F.col("node").alias("a"), F.col("rep").alias("b")), texts, similarity, loose=True)
     labels = components(one.filter("near"))
     others = found.join(best.withColumnRenamed("rep", "tried"), "node").filter("rep <> tried").select(F.col("node").alias("a"), F.col("rep").alias("b"))

@@ -378,3 +378,18 @@ def test_pipeline_against_its_operators(spark):
     mixed = {r.doc_id for r in K.mix_sources(docs.filter(docs.doc_id.isin(sorted(kept - bad)))).collect() if r.sampled}
     assert set(got.doc_id) == mixed and not got.doc_id.duplicated().any()
     assert {"shard", *docs.columns} <= set(got.columns) and os.path.basename(d) == "sf0.001"
+
+
+def test_labels_are_few_files(spark):
+    from lamina.llm import order_minhash as M
+
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = M.components(spark.range(3000).selectExpr("id * 2 AS a", "id * 2 + 1 AS b"))
+        assert len(got.inputFiles()) <= 8  # not one for each of 64 partitions
+        assert got.filter("label = node - node % 2").count() == 6000
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
