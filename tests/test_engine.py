@@ -335,3 +335,17 @@ def test_rows_that_outlive_lie_in_files(spark, sf_dir):
     from lamina import catalogue
 
     assert catalogue.queries()["streamed_ttl"](spark, sf_dir).inputFiles()
+
+
+def test_rows_that_outlive_do_not_pass_through_the_driver(spark, tmp_path):
+    from lamina import catalogue
+
+    spark.range(100_000).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    conf = spark.sparkContext._jsc.sc().conf()  # Spark looks at it again for each stage
+    was = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "1m")  # a table in memory got 1,377 KiB from each of four tasks
+    try:
+        got = catalogue.queries()["streamed_ttl"](spark, str(tmp_path)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids")).collect()
+    finally:
+        conf.set("spark.driver.maxResultSize", was)
+    assert [tuple(r) for r in got] == [("long", 100_000, 100_000)]
