@@ -31,8 +31,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sketches of a text, and k-mers in a sketch.
 SKETCHES, DEPTH = 32, 2
 #: Of the exact join: a text shows len / EXTRA runs more than it must; texts a part; texts that share a run from which it is
-#: dealt into blocks; meetings that are listed, and pairs that are counted, at once.
-EXTRA, PART_TEXTS, BLOCK, PAIRS = 10, 4_096, 2_000, 500_000
+#: dealt into blocks; pairs that are counted at once; meetings that are listed, and pairs that are given out, at once.
+EXTRA, PART_TEXTS, BLOCK, PAIRS, LISTED = 10, 4_096, 2_000, 500_000, 50_000
 #: Counts of runs, by which runs are ordered from rare to common, are kept by hash in at most so many bins, four for each
 #: document. The order decides how much is compared, never the result.
 MOST_BINS, RANGES = 1 << 24, 64
@@ -435,22 +435,27 @@ def _rest(texts: DataFrame, nodes: DataFrame, labels: DataFrame, frequency: np.n
 
 
 def _meetings(blocks: list[bytes], similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b, runs shared, runs needed) of the pairs of different classes that share a run in these blocks, some at a time."""
+    """(a, b, runs shared, runs needed) of the pairs of different classes that share a run in these blocks, at most LISTED at a time.
+
+    Two tasks of an executor do this at once beside its JVM, so what is held is kept small: a part's runs, PAIRS counted pairs
+    and about as many that wait to be counted, both as short as they can be, and the arrays of LISTED meetings.
+    """
     cols: dict[str, list[np.ndarray]] = {k: [] for k in ("x", "row", "side", "node", "label", "words")}
     base = 0
-    for block in blocks:
-        got = unpack(block)
-        got["row"] = got["row"].astype(np.int64) + base
+    while blocks:
+        got = unpack(blocks.pop())
+        got["row"] = got["row"].astype(np.int32) + np.int32(base)
         base += len(got["node"])
         for k, v in cols.items():
             v.append(got[k])
-    x, row, side, node, label, words = (np.concatenate(cols[k]) for k in cols)
+    x, row, side, node, label, words = (np.concatenate(cols.pop(k)) for k in list(cols))
     order = np.argsort(x, kind="stable")
     x, row, side = x[order], row[order], side[order]
     first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     several = np.minimum.reduceat(label[row], first) != np.maximum.reduceat(label[row], first)
     keep = np.repeat(several, np.diff(np.concatenate([first, [len(x)]])))
     x, row, side = x[keep], row[keep], side[keep]
+    del order, first, several, keep
     if not len(x):
         return
     # Texts of a class stand together in their group, so each meets just those of the classes after its own.
@@ -459,35 +464,57 @@ def _meetings(blocks: list[bytes], similarity: float) -> Iterator[tuple[np.ndarr
     x, row, side, of = x[order], row[order], side[order], of[order]
     new_group = np.concatenate([x[1:] != x[:-1], [True]])
     new_class = new_group | np.concatenate([of[1:] != of[:-1], [True]])
-    at = np.arange(len(x))
-    group_end = at[new_group][np.searchsorted(at[new_group], at)] + 1
-    class_end = at[new_class][np.searchsorted(at[new_class], at)] + 1
-    meets = group_end - class_end
+    ends = lambda last: np.repeat((e := np.flatnonzero(last) + 1).astype(np.int32), np.diff(e, prepend=0))  # noqa: E731  for each row where its group ends
+    class_end = ends(new_class)
+    meets = ends(new_group) - class_end
+    total = np.cumsum(meets, dtype=np.int64)
+    del x, of, order, new_group, new_class
     words = words.astype(np.int64)
     least, extra = words - ((1 - similarity) * words + 1e-9).astype(np.int64), _extra(words, similarity, _width(similarity))
 
-    def rows(code: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
-        i, j = code // base, code % base
-        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), times, 1 + np.minimum(extra[i], extra[j])
-
-    total, code, times, lo = np.cumsum(meets), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    while lo < len(x):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
-        n = meets[lo:hi]
-        mine = np.repeat(at[lo:hi], n)
-        other = class_end[mine] + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
-        i, j = row[mine], row[other]
-        longer = np.where(words[i] >= words[j], i, j)
-        ok = (np.minimum(words[i], words[j]) >= least[longer]) & ((side[mine] == 0) | (side[mine] != side[other]))
-        i, j, lo = i[ok], j[ok], hi
-        new, n = np.unique(np.minimum(i, j) * base + np.maximum(i, j), return_counts=True)
-        code, where = np.unique(np.concatenate([code, new]), return_inverse=True)
-        times = np.bincount(where, np.concatenate([times, n]), len(code)).astype(np.int64)
-        if len(code) > PAIRS:
-            yield rows(code, times)
-            code, times = code[:0], times[:0]
-    if len(code):
-        yield rows(code, times)
+    def rows(code: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for at in range(0, len(code), LISTED):
+            i, j = code[at : at + LISTED] // base, code[at : at + LISTED] % base
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), times[at : at + LISTED].astype(np.int64), 1 + np.minimum(extra[i], extra[j])
+
+    def listed() -> Iterator[np.ndarray]:
+        """The pairs that meet, LISTED meetings at a time, each as one sorted array."""
+        lo = 0
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + LISTED, "right")))
+            n = meets[lo:hi]
+            mine = np.repeat(np.arange(lo, hi), n)
+            other = class_end[mine] + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
+            i, j = row[mine], row[other]
+            longer = np.where(words[i] >= words[j], i, j)
+            ok = (np.minimum(words[i], words[j]) >= least[longer]) & ((side[mine] == 0) | (side[mine] != side[other]))
+            i, j, lo = i[ok], j[ok], hi
+            yield np.minimum(i, j).astype(np.int64) * base + np.maximum(i, j)
+
+    code, times, waiting = np.zeros(0, np.int64), np.zeros(0, np.int32), []
+    for new in listed():
+        waiting.append(new)
+        if sum(map(len, waiting)) > PAIRS:
+            code, times = _counted(code, times, waiting)
+            if len(code) > PAIRS:
+                yield from rows(code, times)
+                code, times = code[:0].copy(), times[:0].copy()
+    code, times = _counted(code, times, waiting)
+    yield from rows(code, times)
+
+
+def _counted(code: np.ndarray, times: np.ndarray, waiting: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes, sorted, and their counts, after those of ``waiting`` are counted once each; ``waiting`` is empty then."""
+    new = np.concatenate([code[:0], *waiting])
+    waiting.clear()
+    new.sort()
+    first = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]])[: len(new)])
+    n, new = np.diff(first, append=len(new)).astype(np.int32), new[first]
+    at = np.searchsorted(code, new)
+    known = code[np.minimum(at, len(code) - 1)] == new if len(code) else np.zeros(len(new), bool)
+    times[at[known]] += n[known]  # codes of ``new`` differ
+    at, new, n = at[~known], new[~known], n[~known]
+    return np.insert(code, at, new), np.insert(times, at, n)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, loose: bool = False) -> DataFrame:

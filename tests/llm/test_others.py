@@ -2,6 +2,7 @@ import collections
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -94,6 +95,47 @@ def test_every_fifth_word_changed(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_meetings_are_listed_and_given_out_a_few_at_a_time():
+    rng, n, kinds = np.random.default_rng(4), 1200, 60
+    has = rng.random((n, kinds)) < 1 / 3  # some 4,800,000 meetings of over 700,000 pairs
+    words, label = rng.integers(90, 130, n).astype(np.int32), np.arange(n, dtype=np.int64) // 2
+    blocks = []
+    for lo in range(0, n, 400):
+        row, x = np.nonzero(has[lo : lo + 400])
+        blocks.append(O.pack(x=x.astype(np.uint32), row=row.astype(np.uint16), side=np.zeros(len(x), np.uint8), node=np.arange(lo, lo + 400), label=label[lo : lo + 400], words=words[lo : lo + 400]))
+    shared, need, most = np.zeros((n, n), np.int64), np.zeros((n, n), np.int64), 0
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for a, b, times, least in O._meetings(blocks, 0.8):
+        most = max(most, len(a))
+        np.add.at(shared, (a, b), times)
+        need[a, b] = least
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    i, j = np.triu_indices(n, 1)
+    longer, shorter = np.maximum(words[i], words[j]), np.minimum(words[i], words[j])
+    ok = (label[i] != label[j]) & (shorter >= longer - (0.2 * longer + 1e-9).astype(int))
+    i, j = i[ok], j[ok]
+    want = np.zeros((n, n), np.int64)
+    want[i, j] = (has.astype(np.int64) @ has.T.astype(np.int64))[i, j]
+    assert (shared == want).all()
+    extra = O._extra(words.astype(np.int64), 0.8, O._width(0.8))
+    met = want > 0
+    assert (need == np.where(met, 1 + np.minimum(extra[:, None], extra[None, :]), 0)).all()
+    assert most <= 50_000
+    assert peak < 60e6, peak
+
+
+def test_counted_pairs_add_up():
+    rng = np.random.default_rng(5)
+    code, times, want = np.zeros(0, np.int64), np.zeros(0, np.int32), collections.Counter()
+    for sizes in ([], [0], [3, 0, 7], [200, 100], [1], [400]):
+        waiting = [np.sort(rng.integers(0, 250, k)) for k in sizes]
+        want.update(x for w in waiting for x in w.tolist())
+        code, times = O._counted(code, times, waiting)
+        assert not waiting and dict(zip(code.tolist(), times.tolist(), strict=True)) == want and (np.diff(code) > 0).all()
+
+
 def test_all_pairs_around_one_passage(spark, monkeypatch):
     rng = random.Random(11)
     shared, rows = [f"p{i}" for i in range(60)], []
